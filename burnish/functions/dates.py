@@ -20,19 +20,40 @@ def sentinel_label(text: Column, sentinels: Sequence[str]) -> Column:
     )
 
 
-def _shape(date_format: str) -> str:
-    """LIKE mask of a format: its punctuation kept, one `_` per letter, quotes dropped."""
-    literal_or_letter = re.findall(r"'([^']*)'|(.)", date_format)
-    return "".join(quoted or ("_" if char.isalpha() else char) for quoted, char in literal_or_letter)
+# Digits that each field of a fixed-width format may hold. Month and day are checked by the date itself.
+FIELDS = {
+    "yyyy": "[0-9]{4}",
+    "MM": "[0-9]{2}",
+    "dd": "[0-9]{2}",
+    "HH": "(?:[01][0-9]|2[0-3])",
+    "mm": "[0-5][0-9]",
+    "ss": "[0-5][0-9]",
+}
 
 
 def to_date_any(text: Column, formats: Sequence[str]) -> Column:
     """Date by the first format that fits the whole text, else null.
 
-    A failed parse raises and catches an exception inside the JVM for every row. The LIKE mask in
-    front of each parser keeps rows of another shape away from it, so a value is normally parsed once.
+    Spark's pattern parser goes through a timestamp and raises and catches an exception for every text
+    that does not fit. For formats of fixed width a length, a regular expression and a cast say the same
+    at a fraction of the cost; other formats are left to the parser.
     """
-    value = F.trim(text)
-    return F.coalesce(
-        *[F.when(value.like(_shape(fmt)), F.try_to_date(value, fmt)) for fmt in formats]
-    )
+    return F.coalesce(*[_date_of(text, fmt) for fmt in formats])
+
+
+def _date_of(text: Column, date_format: str) -> Column:
+    pattern, starts, width = "", {}, 0
+    for token in re.finditer(r"'(?P<quoted>[^']*)'|(?P<field>(?P<letter>[A-Za-z])(?P=letter)*)|(?P<mark>.)", date_format):
+        field = token["field"]
+        if field is None:
+            literal = token["quoted"] or token["mark"]
+            pattern, width = pattern + re.escape(literal), width + len(literal)
+        elif field in FIELDS or set(field) == {"S"}:
+            starts[field] = width + 1
+            pattern, width = pattern + FIELDS.get(field, f"[0-9]{{{len(field)}}}"), width + len(field)
+        else:
+            return F.try_to_date(text, date_format)
+    if not {"yyyy", "MM", "dd"} <= starts.keys():
+        return F.try_to_date(text, date_format)
+    iso = F.concat_ws("-", *[F.substring(text, starts[f], len(f)) for f in ("yyyy", "MM", "dd")])
+    return F.when((F.length(text) == width) & text.rlike(f"^{pattern}$"), iso.try_cast("date"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,28 +34,21 @@ def term_prefixes(term: str, min_prefix: int) -> list[str]:
 def closest_term(key: Column, vocabulary: Sequence[str], min_prefix: int) -> Column:
     """The vocabulary word that `key` equals or abbreviates, else null.
 
-    When several words share a prefix the last listed one wins, so the words are tested from the end.
+    When several words share a prefix the last listed one wins. All prefixes go into one literal map,
+    which keeps the generated code short.
     """
-    cases = [(key.isin(term_prefixes(term, min_prefix)), F.lit(term)) for term in reversed(vocabulary)]
-    return _first_case(cases)
+    owners = {prefix: term for term in vocabulary for prefix in term_prefixes(term, min_prefix)}
+    if not owners:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in owners.items() for x in pair]), key)
 
 
 def first_synonym(key: Column, rules: Sequence[Synonyms]) -> Column:
     """Target of the first rule that `key` fits, else null."""
-    cases = []
-    for rule in rules:
+    found = F.lit(None).cast("string")
+    for rule in reversed(rules):
         tests = [key.contains(fragment) for fragment in rule.contains]
         if rule.equals:
-            tests.insert(0, key.isin(list(rule.equals)))
-        cases.append((reduce(lambda a, b: a | b, tests), F.lit(rule.target)))
-    return _first_case(cases)
-
-
-def _first_case(cases: Sequence[tuple[Column, Column]]) -> Column:
-    if not cases:
-        return F.lit(None).cast("string")
-    condition, value = cases[0]
-    chain = F.when(condition, value)
-    for condition, value in cases[1:]:
-        chain = chain.when(condition, value)
-    return chain
+            tests.append(key.isin(list(rule.equals)))
+        found = F.when(reduce(or_, tests), F.lit(rule.target)).otherwise(found)
+    return found

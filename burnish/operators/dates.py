@@ -31,7 +31,12 @@ def parse_dates(
 
     `mark_unparsed` changes the flag of rows that no format fits from `ok` to `unparsed`.
     """
-    parsed = df.withColumn(out, F.when(named(flag) == FLAG_OK, to_date_any(named(col), formats)))
+    text = "__date_text"
+    parsed = (
+        df.withColumn(text, F.when(named(flag) == FLAG_OK, F.trim(named(col))))
+        .withColumn(out, to_date_any(named(text), formats))
+        .drop(text)
+    )
     if not mark_unparsed:
         return parsed
     failed = (named(flag) == FLAG_OK) & named(out).isNull()

@@ -72,7 +72,7 @@ def join_without_hot_tasks(
         .drop(HOT, SLICES)
     )
     copied = (
-        right.join(hot, F.col(RIGHT_KEY) == F.col(HOT), "left")
+        right.join(hot, F.col(RIGHT_KEY).eqNullSafe(F.col(HOT)), "left")
         .withColumn(RIGHT_SLICE, F.explode(F.sequence(F.lit(0), slices - 1)))
         .drop(HOT, SLICES)
     )

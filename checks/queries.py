@@ -16,6 +16,7 @@ from burnish import operators as op
 from burnish import plans
 from burnish.operators.integrity import Reference
 from burnish.rules import CATEGORY_TERMS, PAYMENT_RULES, STATUS_RULES, UNMAPPED_LABEL
+from burnish.session import tune
 from burnish.sources import load_table, read_raw, save_table, write_report
 from checks.dirty import raw_customers, raw_materials, raw_orders, table
 from checks.scratch import scratch_dir
@@ -25,7 +26,7 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
+    QUERIES[build.__name__] = lambda spark, sf_dir: build(tune(spark), sf_dir)
     return build
 
 

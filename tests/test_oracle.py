@@ -1,3 +1,5 @@
+from functools import partial
+
 import pytest
 
 import __spark_entry__ as entry_points
@@ -40,10 +42,8 @@ JOINS = [
 @pytest.mark.parametrize("name", JOINS)
 def test_same_rows_without_broadcast(spark, conf, monkeypatch, name):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
-    conf("spark.sql.adaptive.enabled", "false")
-    split = skew.join_without_hot_tasks.__kwdefaults__ or {}
-    defaults = skew.join_without_hot_tasks.__defaults__
-    monkeypatch.setattr(skew.join_without_hot_tasks, "__defaults__", (0.001, 1))
-    assert not split and len(defaults) == 2
+    every_key_hot = partial(skew.join_without_hot_tasks, share=0.001, min_rows=1)
+    monkeypatch.setattr("burnish.operators.integrity.join_without_hot_tasks", every_key_hot)
+    monkeypatch.setattr("burnish.operators.vocabulary.join_without_hot_tasks", every_key_hot)
     sf_dir = str(TESTDATA / "sf0.001")
     assert spark_bag(QUERIES[name](spark, sf_dir)) == duckdb_bag(duckdb_over(sf_dir), ORACLE[name])
