@@ -40,20 +40,19 @@ def top_values(df: DataFrame, cols: Sequence[str], top: int) -> DataFrame:
     Every task keeps its own `top` candidates per column, so a column of many values does not end up
     in the one task that ranks it.
     """
-    frequent = Window.partitionBy("column_name").orderBy(F.desc("value_count"), "value")
+    frequent = Window.partitionBy("column_name").orderBy(F.isnull("value"), F.desc("value_count"), "value")
     return (
         value_counts(df, cols)
-        .where("value IS NOT NULL")
         .withColumn("value_rank", F.row_number().over(frequent))
-        .where(F.col("value_rank") <= top)
+        .where((F.col("value_rank") <= top) & F.col("value").isNotNull())
         .orderBy("column_name", "value_rank")
     )
 
 
 def profile_column(df: DataFrame, col: str, top: int) -> DataFrame:
-    """The `top` values of one column, each beside the column's row, null and distinct counts."""
+    """The `top` values of one column, each beside the column's row, null and distinct counts.
+
+    Both halves start from the same counts, which Spark computes once.
+    """
     summary = profile_columns(df, [col])
-    return (
-        summary.join(top_values(df, [col], top), "column_name", "left")
-        .orderBy("value_rank")
-    )
+    return summary.join(top_values(df, [col], top), "column_name", "left").orderBy("value_rank")

@@ -18,11 +18,14 @@ def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark will broadcast `df`: its size estimate is within the session's threshold.
 
     Reads the optimiser's statistics and runs no job. A table without usable statistics counts as
-    large, and a threshold of -1 switches broadcasts off.
+    large, and a threshold of -1 switches broadcasts off. Sessions that show no statistics (Spark
+    Connect) always take the way for large tables.
     """
-    threshold = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size <= threshold
+    frame, session = getattr(df, "_jdf", None), getattr(df.sparkSession, "_jsparkSession", None)
+    if frame is None or session is None:
+        return False
+    size = int(str(frame.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= session.sessionState().conf().autoBroadcastJoinThreshold()
 
 
 def hot_keys(df: DataFrame, key: str, share: float, min_rows: int) -> DataFrame:
@@ -58,6 +61,9 @@ def join_without_hot_tasks(
     rows of `right` with that key are copied to each. Only hot keys are copied, and their list can be
     broadcast because `hot_keys` bounds its length. Equal rows are dealt out, too: the slice comes from
     the input partition and not from the content, and it stays the same when a lost task runs again.
+
+    Finding the hot keys reads the key column of `left` once more, so `left` must give the same rows
+    each time it is read.
     """
     right = right.withColumnRenamed(right_key, RIGHT_KEY)
     same_key = named(left_key) == F.col(RIGHT_KEY)

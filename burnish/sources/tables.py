@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,27 +9,11 @@ def quoted(*names: str) -> str:
     return ".".join("`" + name.replace("`", "``") + "`" for name in names)
 
 
-def save_table(
-    df: DataFrame,
-    db: str,
-    name: str,
-    location: str | None = None,
-    partition_by: Sequence[str] = (),
-    buckets: tuple[int, Sequence[str]] | None = None,
-) -> None:
-    """Replace table `db`.`name` by `df`; the database is created when missing, at `location` if given.
-
-    `buckets=(n, columns)` stores rows by key, so later joins and aggregations on it need no shuffle.
-    """
+def save_table(df: DataFrame, db: str, name: str, location: str | None = None) -> None:
+    """Replace table `db`.`name` by `df`; the database is created when missing, at `location` if given."""
     at = f" LOCATION '{location}'" if location else ""
     df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(db)}{at}")
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if buckets:
-        count, columns = buckets
-        writer = writer.bucketBy(count, *columns).sortBy(*columns)
-    writer.saveAsTable(quoted(db, name))
+    df.write.mode("overwrite").saveAsTable(quoted(db, name))
 
 
 def load_table(spark: SparkSession, db: str, name: str) -> DataFrame:

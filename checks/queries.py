@@ -384,9 +384,12 @@ def job_orders(spark, sf_dir):
 REPORT_COUNTS = {
     "customer_quality_summary": "total_customers",
     "material_quality_by_category": "product_count",
+    "material_clean_rate": "price_invalid_count",
     "orders_date_quality": "order_count",
     "orders_payment_distribution": "order_count",
     "orders_status_distribution": "order_count",
+    "orders_missing_amounts": "missing_count",
+    "referential_integrity": "violation_count",
     "revenue_by_category": "order_count",
     "payment_status_crosstab": "order_count",
     "reconciliation_summary": "record_count",

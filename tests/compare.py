@@ -33,3 +33,15 @@ def spark_bag(df):
 def duckdb_bag(con, sql):
     result = con.sql(sql)
     return as_bag(result.columns, result.fetchall())
+
+
+DUCKDB_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def spark_types(df):
+    return {name: DUCKDB_TYPES.get(kind, kind) for name, kind in df.dtypes}
+
+
+def duckdb_types(con, sql):
+    result = con.sql(sql)
+    return dict(zip(result.columns, map(str, result.types)))

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from burnish.operators import skew
-from tests.compare import duckdb_bag, duckdb_over, spark_bag
+from tests.compare import duckdb_bag, duckdb_over, duckdb_types, spark_bag, spark_types
 from tests.conftest import TESTDATA
 
 QUERIES = entry_points.queries()
@@ -19,8 +19,11 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows_as_duckdb(spark, name, sf):
     sf_dir = str(TESTDATA / sf)
-    columns, rows = spark_bag(QUERIES[name](spark, sf_dir))
-    expected_columns, expected = duckdb_bag(duckdb_over(sf_dir), ORACLE[name])
+    con = duckdb_over(sf_dir)
+    result = QUERIES[name](spark, sf_dir)
+    assert spark_types(result) == duckdb_types(con, ORACLE[name])
+    columns, rows = spark_bag(result)
+    expected_columns, expected = duckdb_bag(con, ORACLE[name])
     assert columns == expected_columns
     assert sum(rows.values()) == sum(expected.values()) > 0
     assert rows == expected

