@@ -52,7 +52,9 @@ def top_values(df: DataFrame, cols: Sequence[str], top: int) -> DataFrame:
 def profile_column(df: DataFrame, col: str, top: int) -> DataFrame:
     """The `top` values of one column, each beside the column's row, null and distinct counts.
 
-    Both halves start from the same counts, which Spark computes once.
+    The null-safe join keeps Spark from adding a filter to one half, so both halves share one scan and
+    one shuffle of the counts.
     """
-    summary = profile_columns(df, [col])
-    return summary.join(top_values(df, [col], top), "column_name", "left").orderBy("value_rank")
+    frequent = top_values(df, [col], top).withColumnRenamed("column_name", "__column")
+    same = F.col("column_name").eqNullSafe(F.col("__column"))
+    return profile_columns(df, [col]).join(frequent, same, "left").drop("__column").orderBy("value_rank")

@@ -1,8 +1,8 @@
 """Raw tables with realistic defects, derived from the clean test tables.
 
 The text runs unchanged in Spark and in DuckDB. `{customer}`, `{part}` and `{orders}` stand for the
-source tables. Every row of them is used and orders refer to all products, so the raw tables grow with
-the data.
+source tables. Every row of them is used and orders refer to all products (the tables hold 2 products
+for every 15 orders), so the raw tables grow with the data.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ SELECT CAST(o_orderkey AS STRING) AS order_id,
   CASE WHEN o_orderkey % 41 = 0 THEN 'CUST-GONE' WHEN o_orderkey % 43 = 0 THEN NULL
     ELSE 'CUST-' || CAST(o_custkey AS STRING) END AS customer_id,
   CASE WHEN o_orderkey % 53 = 0 THEN 'PROD-GONE'
-    ELSE 'PROD-' || CAST(o_orderkey % (SELECT COUNT(*) FROM {part}) AS STRING) END AS product_id,
+    ELSE 'PROD-' || CAST(CAST(FLOOR(o_orderkey * 2 / 15.0) AS BIGINT) AS STRING) END AS product_id,
   CASE o_orderkey % 12 WHEN 0 THEN 'Card' WHEN 1 THEN 'crd' WHEN 2 THEN 'crad ' WHEN 3 THEN 'C.D.'
     WHEN 4 THEN 'wallet' WHEN 5 THEN 'e-WALL' WHEN 6 THEN 'UPI' WHEN 7 THEN ' upi' WHEN 8 THEN 'cash'
     WHEN 9 THEN 'CASH!' WHEN 10 THEN 'bitcoin' ELSE NULL END AS payment_method,
@@ -81,7 +81,7 @@ def raw_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, RAW_ORDERS, "orders", "part")
+    return _view(spark, sf_dir, RAW_ORDERS, "orders")
 
 
 def in_duckdb(text: str) -> str:
