@@ -52,7 +52,7 @@ def split_multivalue(
     """
     return df.withColumn(items, list_items(named(col), sep, keep_empty)).withColumns(
         {
-            count: F.coalesce(F.size(named(items)), F.lit(0)) if not keep_empty else F.size(named(items)),
+            count: F.when(named(items).isNull(), 0).otherwise(F.size(named(items))),
             first: F.get(named(items), F.lit(0)),
         }
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -26,8 +27,12 @@ def canonicalize_terms(
     """Replace `col` by the vocabulary word it spells or abbreviates, null when there is none.
 
     The cleaned key gets a projection of its own, so it is computed once per row and not once per word.
-    For vocabularies too long for an expression use `canonicalize_terms_from`.
+    For vocabularies too long for an expression use `canonicalize_terms_from`. Prefixes that several
+    words share are reported as a warning.
     """
+    collisions = colliding_terms(vocabulary, min_prefix)
+    if collisions:
+        warnings.warn(f"the last listed term wins for shared prefixes: {collisions}", stacklevel=2)
     return (
         df.withColumn(KEY, term_key(named(col), substitutions))
         .withColumn(out or col, closest_term(F.col(KEY), vocabulary, min_prefix))

@@ -11,7 +11,7 @@ def quoted(*names: str) -> str:
 
 def save_table(df: DataFrame, db: str, name: str, location: str | None = None) -> None:
     """Replace table `db`.`name` by `df`; the database is created when missing, at `location` if given."""
-    at = f" LOCATION '{location}'" if location else ""
+    at = " LOCATION '" + location.replace("\\", "\\\\").replace("'", "\\'") + "'" if location else ""
     df.sparkSession.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(db)}{at}")
     df.write.mode("overwrite").saveAsTable(quoted(db, name))
 

@@ -1,11 +1,21 @@
 import datetime
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from burnish import operators as op
-from burnish.functions import exact_mean, exact_total, percent, to_date_any
+from burnish.functions import (
+    amount_parts,
+    exact_mean,
+    exact_total,
+    mean_of,
+    merged_parts,
+    percent,
+    to_date_any,
+    total_of,
+)
 from burnish.rules import DATE_FORMATS
 
 
@@ -101,6 +111,30 @@ def test_totals_do_not_depend_on_the_row_order(spark):
     assert results == {(cents / 100, round(cents / 100 / 5002, 2))}
 
 
+def test_totals_are_exact_to_six_decimals(spark):
+    rng = random.Random(11)
+    texts = [f"{rng.choice(['', '-'])}{rng.randrange(10 ** rng.randint(1, 12))}.{rng.randrange(10 ** 6):06d}"
+             for _ in range(4000)]
+    texts = [t for t in texts if len(t) < 16] + ["0.005", "-0.005", "999999999.999999", "-1000000000.000001"]
+    df = spark.createDataFrame([(i % 7, t) for i, t in enumerate(texts)], "g int, t string")
+    parts = df.groupBy("g").agg(amount_parts(F.col("t").cast("double")).alias("p"))
+    merged = merged_parts(F.col("p"))
+    total, mean = parts.agg(total_of(merged), mean_of(merged)).first()
+    exact = sum(map(Decimal, texts))
+    assert total == float(exact.quantize(Decimal("0.01"), ROUND_HALF_UP))
+    assert mean == float((exact / len(texts)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def test_total_survives_an_overflow_of_the_units(spark):
+    half = "named_struct('rows', 2L, 'exact_rows', 2L, 'units', 5000000000000000000L, 'millionths', 0L, "
+    half += "'approximate', 5e18D) AS p"
+    merged = merged_parts(F.col("p"))
+    df = spark.sql(f"SELECT {half} UNION ALL SELECT {half}")
+    assert tuple(df.agg(total_of(merged), mean_of(merged)).first()) == (1e19, 2.5e18)
+    nan = spark.createDataFrame([(float("nan"),), (1.0,)], "a double").agg(exact_total(F.col("a"))).first()[0]
+    assert nan != nan
+
+
 def test_totals_without_a_decimal(spark):
     df = spark.createDataFrame([(1e30,), (5.0,), (None,)], "a double")
     assert tuple(df.agg(exact_total(F.col("a")), exact_mean(F.col("a"))).first()) == (1e30, 5e29)

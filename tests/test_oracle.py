@@ -50,3 +50,14 @@ def test_same_rows_without_broadcast(spark, conf, monkeypatch, name):
     monkeypatch.setattr("burnish.operators.vocabulary.join_without_hot_tasks", every_key_hot)
     sf_dir = str(TESTDATA / "sf0.001")
     assert spark_bag(QUERIES[name](spark, sf_dir)) == duckdb_bag(duckdb_over(sf_dir), ORACLE[name])
+
+
+SESSION_DEPENDENT = ["amounts_materials", "dates", "devices", "job_customers", "material_clean_rate", "revenue_by_category"]
+
+
+@pytest.mark.parametrize("name", SESSION_DEPENDENT)
+def test_same_rows_in_a_lenient_session_elsewhere(spark, conf, name):
+    conf("spark.sql.ansi.enabled", "false")
+    conf("spark.sql.session.timeZone", "America/Sao_Paulo")
+    sf_dir = str(TESTDATA / "sf0.001")
+    assert spark_bag(QUERIES[name](spark, sf_dir)) == duckdb_bag(duckdb_over(sf_dir), ORACLE[name])

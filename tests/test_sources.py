@@ -47,8 +47,8 @@ def test_table_is_replaced(spark, db):
 
 
 def test_table_place(spark, db, tmp_path):
-    save_table(spark.range(20), db, "t", location=str(tmp_path / "tables"))
-    assert (tmp_path / "tables" / "t").is_dir()
+    save_table(spark.range(20), db, "t", location=str(tmp_path / "bob's tables"))
+    assert (tmp_path / "bob's tables" / "t").is_dir()
     assert load_table(spark, db, "t").count() == 20
 
 
