@@ -22,6 +22,8 @@ def term_key(text: Column, substitutions: Mapping[str, str]) -> Column:
 
     Dropping all non-letters at the end also drops the spaces, `_` and `-` around a term.
     """
+    if any(len(x) != 1 for pair in substitutions.items() for x in pair):
+        raise ValueError("a substitution replaces one character by one other")
     read_as_letters = F.translate(F.lower(text), "".join(substitutions), "".join(substitutions.values()))
     return F.regexp_replace(read_as_letters, "[^a-z]", "")
 
@@ -50,5 +52,6 @@ def first_synonym(key: Column, rules: Sequence[Synonyms]) -> Column:
         tests = [key.contains(fragment) for fragment in rule.contains]
         if rule.equals:
             tests.append(key.isin(list(rule.equals)))
-        found = F.when(reduce(or_, tests), F.lit(rule.target)).otherwise(found)
+        if tests:
+            found = F.when(reduce(or_, tests), F.lit(rule.target)).otherwise(found)
     return found

@@ -91,7 +91,13 @@ def test_first_rule_wins(spark):
     df = spark.createDataFrame([("xy",)], "s string")
     assert op.map_synonyms(df, "s", rules, letters=True, out="c").first().c == "a"
     assert op.map_synonyms(df, "s", rules[::-1], letters=True, out="c").first().c == "b"
-    assert op.map_synonyms(df, "s", [], letters=True, out="c").first().c is None
+    for nothing in ([], [Synonyms("a")]):
+        assert op.map_synonyms(df, "s", nothing, letters=True, out="c").first().c is None
+
+
+def test_substitutions_are_single_characters(spark):
+    with pytest.raises(ValueError):
+        mapped(spark, ["x"], substitutions={"ph": "f"})
 
 
 def test_flag_unmapped(spark):
