@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from burnish.llm.jaccard_join import jaccard_components
+from burnish.llm.language_id import language_table
+from burnish.llm.piece_encoding import piece_table
 from burnish.llm.token_files import token_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +35,16 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_table(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_table(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
