@@ -10,6 +10,7 @@ from burnish.llm.jaccard_join import jaccard_components
 from burnish.llm.language_id import language_table
 from burnish.llm.piece_encoding import piece_table
 from burnish.llm.token_files import token_table
+from burnish.llm.url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,3 +49,8 @@ def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@query
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"))
