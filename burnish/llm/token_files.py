@@ -7,11 +7,11 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -21,7 +21,7 @@ from burnish.llm.common import saved, shared_dir, slices
 
 MAGIC = b"TOKSVB01"
 FILE_TOKENS = 4 << 20  # a file closes after the document that reaches this
-KNOWN_WORDS = 500_000  # words whose ids a task keeps; then it starts over
+KNOWN_WORDS = 800_000  # words whose ids a task keeps; then it starts over
 
 # For each control byte: the lengths of its four ids, and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -94,22 +94,27 @@ class WordEncoder:
             core = core.encode().decode("latin-1").translate(self.stands)
         return [t.id for t in self.model.tokenize(core)] + self.tails[tail]
 
-    def __call__(self, batch: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, batch: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each document closed by `end_id`, and the number of ids of each document."""
+        batch = pc.fill_null(batch.cast(pa.large_string()), "")
         if not self.by_word:
-            each = [x.ids + [end_id] for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
+            found = self.tokenizer.encode_batch_fast(batch.to_pylist(), add_special_tokens=False)
+            each = [x.ids + [end_id] for x in found]
             return np.array([i for ids in each for i in ids], np.uint32), np.array([len(x) for x in each], np.int64)
         if len(self.place) > KNOWN_WORDS:
             self._forget()
-        split = [[*filter(None, x.replace("\n", " ").split(" "))] for x in batch]
-        for word in set(chain.from_iterable(split)).difference(self.place):
-            ids = self._word(word)
-            self.place[word] = len(self.first)
-            self.first.append(len(self.flat))
-            self.count.append(len(ids))
-            self.flat.extend(ids)
-        sizes = np.array([len(x) for x in split], np.int64)
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        split = pc.split_pattern(pc.replace_substring(batch, "\n", " "), " ")
+        sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        for word in words:
+            if word not in self.place:
+                ids = self._word(word) if word else []
+                self.place[word] = len(self.first)
+                self.first.append(len(self.flat))
+                self.count.append(len(ids))
+                self.flat.extend(ids)
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
         at = np.insert(at, np.cumsum(sizes), len(self.first))  # the end id follows the last word of each document
         first = np.append(np.array(self.first, np.int64), len(self.flat))
         n = np.append(np.array(self.count, np.int64), 1)[at]
@@ -120,33 +125,40 @@ class WordEncoder:
         return ids, np.diff(ends, prepend=0)
 
 
+def id_type(path: str) -> str:
+    """The smallest little-endian type that holds every id of a tokenizer."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int = 2, by_word: bool = True) -> DataFrame:
-    """`doc_id`, `tokens` (ids as little-endian 32-bit integers, closed by `end_id`) of every document."""
-    from pyspark.sql.types import BinaryType, LongType, StructType
+    """`doc_id`, `tokens` (ids of type `id_type`, closed by `end_id`) of every document."""
+    kind = id_type(path)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path, by_word)
-        for part in slices(batches):
-            ids, count = encoder([x or "" for x in part.column(1).to_pylist()], end_id)
-            raw, ends = ids.astype("<u4").tobytes(), np.cumsum(count) * 4
-            blobs = [raw[b - 4 * n : b] for b, n in zip(ends.tolist(), count.tolist())]
-            yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "tokens"])
+        for part in slices(batches, limit=8 << 20):
+            ids, count = encoder(part.column(1), end_id)
+            offsets = pa.array(np.append(0, np.cumsum(count)) * np.dtype(kind).itemsize, pa.int32())
+            blobs = pa.BinaryArray.from_buffers(
+                pa.binary(), len(count), [None, offsets.buffers()[1], pa.py_buffer(ids.astype(kind).tobytes())]
+            )
+            yield pa.record_batch([part.column(0).cast(pa.int64()), blobs], ["doc_id", "tokens"])
 
-    schema = StructType().add("doc_id", LongType()).add("tokens", BinaryType())
-    return docs.select("doc_id", "text").mapInArrow(encoded, schema)
+    return docs.select("doc_id", "text").mapInArrow(encoded, "doc_id long, tokens binary")
 
 
-def ranks(tokens: DataFrame) -> DataFrame:
+def ranks(tokens: DataFrame, kind: str) -> DataFrame:
     """`id`, `rank`: 0 for the most frequent id, ties by id. Each task sends one row per id that it met."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                one = np.bincount(np.frombuffer(blob, "<u4"))
-                if len(one) > len(total):
-                    one, total = total, one
-                total[: len(one)] += one
+            one = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
+            if len(one) > len(total):
+                one, total = total, one
+            total[: len(one)] += one
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
@@ -182,7 +194,7 @@ def read_file(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [k if p else None for k, p in zip(keys, present)], counts, ids
 
 
-def write_tokens(tokens: DataFrame, ranking: DataFrame, uri: str, partitions: int | None = None) -> DataFrame:
+def write_tokens(tokens: DataFrame, kind: str, ranking: DataFrame, uri: str) -> DataFrame:
     """Write `tokens` to files in ascending order of doc_id (null first; equal ids by their tokens).
 
     Returns the manifest: `part`, `file`, `path`, `n_tokens`. `ranking` holds one row per vocabulary id and goes to the
@@ -210,7 +222,7 @@ def write_tokens(tokens: DataFrame, ranking: DataFrame, uri: str, partitions: in
 
         for batch in batches:
             for doc_id, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = np.frombuffer(blob, "<u4")
+                raw = np.frombuffer(blob, kind)
                 doc_ids.append(doc_id)
                 counts.append(len(raw))
                 ids.append(shared.value[raw])
@@ -223,8 +235,7 @@ def write_tokens(tokens: DataFrame, ranking: DataFrame, uri: str, partitions: in
         kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64())
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "file", "path", "n_tokens"])
 
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = tokens.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "tokens")
+    ranged = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "tokens")
     return saved(ranged.mapInArrow(written, "part int, file int, path string, n_tokens long"))
 
 
@@ -270,7 +281,8 @@ def token_table(docs: DataFrame, path: str, end_id: int = 2, by_word: bool = Tru
     keep all their rows. Only `doc_id` and `text` are read; other columns are left aside. The token ids are kept once
     in a table between counting and writing, so texts are encoded once.
     """
+    kind = id_type(path)
     tokens = saved(tokenized(docs, path, end_id, by_word))
-    ranking = saved(ranks(tokens))
+    ranking = saved(ranks(tokens, kind))
     uri = shared_dir(docs.sparkSession)
-    return read_tokens(write_tokens(tokens, ranking, uri), ranking, uri)
+    return read_tokens(write_tokens(tokens, kind, ranking, uri), ranking, uri)
