@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from burnish.llm.decontaminate import CONTAMINATION_SQL, contamination_table
 from burnish.llm.jaccard_join import jaccard_components
 from burnish.llm.language_id import language_table
 from burnish.llm.piece_encoding import piece_table
@@ -31,6 +32,14 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op2_decontamination"] = CONTAMINATION_SQL
+
+
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
