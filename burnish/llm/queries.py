@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from burnish.llm.decontaminate import CONTAMINATION_SQL, contamination_table
 from burnish.llm.jaccard_join import jaccard_components
 from burnish.llm.language_id import language_table
+from burnish.llm.personal_data import personal_data_table
 from burnish.llm.piece_encoding import piece_table
 from burnish.llm.token_files import token_table
 from burnish.llm.url_rules import judge_urls
@@ -32,6 +33,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_table(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_table(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
