@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from burnish.llm.decontaminate import CONTAMINATION_SQL, contamination_table
 from burnish.llm.jaccard_join import jaccard_components
 from burnish.llm.language_id import language_table
+from burnish.llm.language_model import model_table
 from burnish.llm.personal_data import personal_data_table
 from burnish.llm.piece_encoding import piece_table
 from burnish.llm.token_files import token_table
@@ -66,6 +67,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@query
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model_table(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
