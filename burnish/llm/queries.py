@@ -10,6 +10,7 @@ from burnish.llm.decontaminate import CONTAMINATION_SQL, contamination_table
 from burnish.llm.jaccard_join import jaccard_components
 from burnish.llm.language_id import language_table
 from burnish.llm.language_model import model_table
+from burnish.llm.nearest import nearest
 from burnish.llm.personal_data import personal_data_table
 from burnish.llm.piece_encoding import piece_table
 from burnish.llm.token_files import token_table
@@ -67,6 +68,11 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+@query
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model_table(_table(spark, sf_dir, "documents"))
