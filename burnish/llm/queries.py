@@ -13,6 +13,7 @@ from burnish.llm.language_model import model_table
 from burnish.llm.nearest import nearest
 from burnish.llm.personal_data import personal_data_table
 from burnish.llm.piece_encoding import piece_table
+from burnish.llm.repeats import repeat_table
 from burnish.llm.token_files import token_table
 from burnish.llm.url_rules import judge_urls
 
@@ -50,7 +51,7 @@ ORACLE["op2_decontamination"] = CONTAMINATION_SQL
 
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return jaccard_components(_table(spark, sf_dir, "documents"), size=4, num=85, den=100).drop("row_hash", "component")
 
 
 @query
@@ -58,6 +59,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_table(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_table(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
