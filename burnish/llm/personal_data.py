@@ -38,6 +38,7 @@ CONTEXT_CHARS = 80
 ROUNDS = 3
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.8
+BROADCAST_ROWS = 200_000  # rows with added spans that a task may hold whole; more are joined by a shuffle
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -85,7 +86,7 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """`row`, `doc_id`, the base spans of each kind, and the candidates with the words in front of them."""
+    """`row`, `doc_id`, `row_hash` (of the text), the base spans of each kind, and the candidates with the words in front of them."""
     text = F.coalesce("text", F.lit(""))
     lead = lambda x: F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT_CHARS)))
     candidates = F.transform(
@@ -99,7 +100,7 @@ def scan(docs: DataFrame) -> DataFrame:
     has = F.regexp_like(text, F.lit("[0-9@]"))
     columns = [base_spans(text, k).alias(k) for k in KINDS]
     none = F.array().cast("array<struct<start:int,value:string,lead:string>>")
-    rows = docs.select("doc_id", *columns, F.when(has, candidates).otherwise(none).alias("candidates"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), *columns, F.when(has, candidates).otherwise(none).alias("candidates"))
     return saved(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
@@ -161,7 +162,7 @@ def confident_patterns(found: DataFrame) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """`doc_id`, base spans of each kind, and `added`: an array of `kind`, `start`, `end` that the bootstrap adds.
+    """`doc_id`, `row_hash`, base spans of each kind, and `added`: an array of `kind`, `start`, `end` that the bootstrap adds.
 
     One row per row of `docs`, repeated ids included. Null and empty texts have no spans; an empty table gives no row;
     other columns are left aside.
@@ -174,7 +175,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     added = unknown.join(patterns, "pattern").where(looks).select("row", "kind", "start", "end").distinct()
     added = added.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return rows.join(added, "row", "left").select("doc_id", *KINDS, F.coalesce("added", none).alias("added"))
+    return rows.join(added, "row", "left").select("doc_id", "row_hash", *KINDS, F.coalesce("added", none).alias("added"))
 
 
 def personal_data_table(docs: DataFrame) -> DataFrame:
@@ -196,3 +197,43 @@ def personal_data_table(docs: DataFrame) -> DataFrame:
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.concat(*map(every, KINDS)), ",").alias("spans"),
     )
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """`docs`, all rows and columns, with each span in `text` replaced by its kind, as [EMAIL]; spans that overlap are
+    replaced together, under the kind of the first. Null texts stay null. `n_chars`, if there, follows the text."""
+    added = find_personal_data(docs).where(F.size("added") > 0)
+    added = added.select(
+        F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.array_sort("added").alias("_added")
+    )
+    added = saved(added.distinct())
+    if added.count() <= BROADCAST_ROWS:
+        added = F.broadcast(added)
+    same = docs["doc_id"].eqNullSafe(added["_id"]) & (F.xxhash64(docs["text"]) == added["_hash"])
+    joined = docs.join(added, same, "left")
+    text = F.coalesce("text", F.lit(""))
+
+    def labelled(spans, label):
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), label(s).alias("kind")))
+
+    spans = [labelled(base_spans(text, k), lambda s, k=k: F.lit(k)) for k in KINDS]
+    none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    spans.append(F.coalesce(labelled(F.col("_added"), lambda s: s["kind"]), none))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, s):
+        clear = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        label = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        more = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(clear, label))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+
+    def close(acc):
+        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+
+    clean = F.aggregate(F.sort_array(F.concat(*spans)), start, step, close)
+    risky = F.col("_added").isNotNull() | F.regexp_like(text, F.lit("[0-9@]"))
+    out = joined.withColumn("text", F.when(risky & F.col("text").isNotNull(), clean).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return out.select(*docs.columns)

@@ -17,8 +17,9 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from burnish.llm.common import slices
 
@@ -221,7 +222,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", out: str = "pi
     """
     columns = [c for c in docs.columns if c != out]
     at = columns.index(text)
-    schema = docs.select(*columns).schema.add(out, "array<int>")
+    schema = docs.select(*columns).schema.add(out, ArrayType(IntegerType()))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
