@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from burnish.functions.text import named
 from burnish.operators.amounts import flag_invalid_amount, flag_missing_amount, null_tokens, parse_amount
@@ -121,6 +122,17 @@ def quality_reports(spark: SparkSession, db: str, out_dir: str) -> Mapping[str,
         "payment_status_crosstab": reports.payment_status_crosstab(summary, rows),
         "reconciliation_summary": reports.reconciliation_summary(customers, materials, summary, weight=rows),
     }
+    frequent = F.desc("order_count")
+    order = {
+        "material_quality_by_category": [F.desc("product_count"), "category"],
+        "orders_date_quality": [frequent, "order_date_flag"],
+        "orders_payment_distribution": [frequent, "payment_method_clean"],
+        "orders_status_distribution": [frequent, "status_clean"],
+        "referential_integrity": ["check_name"],
+        "revenue_by_category": [F.desc("total_revenue"), "category"],
+        "payment_status_crosstab": ["payment_method_clean", "status_clean"],
+        "reconciliation_summary": ["table_name", "issue_type"],
+    }
     for name, result in results.items():
-        write_report(result, f"{out_dir}/{name}")
+        write_report(result, f"{out_dir}/{name}", order.get(name, ()))
     return results

@@ -1,21 +1,34 @@
-"""Small results as CSV."""
+"""Results as CSV."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import uuid
+from collections.abc import Sequence
 
-MAX_REPORT_ROWS = 100_000
+from pyspark.sql import Column, DataFrame
 
 
-def write_report(df: DataFrame, path: str, max_rows: int = MAX_REPORT_ROWS) -> None:
-    """Write an aggregated result to directory `path`: one CSV part with a header, replacing what is there.
+def write_report(df: DataFrame, path: str, order_by: Sequence[str | Column] = (), one_file: bool = True) -> None:
+    """Write a result to directory `path` as CSV with a header, replacing what is there.
 
-    One part means one task, so this is for results only. The write fails at row `max_rows + 1` and
-    leaves no output, whatever the plan above it looks like; use `save_table` for more.
+    `one_file` gathers the rows of an aggregated result in one part; the tasks before it stay as they are, and
+    `order_by` sorts the rows within it. Without `one_file` every task writes its part, for results of any size. The
+    files are written beside `path` and take its place when they are complete, so a run that fails leaves the earlier
+    report untouched.
     """
-    message = f"a report holds at most {max_rows} rows; save this result as a table"
-    row = F.monotonically_increasing_id()  # counts from 0 within the only partition
-    in_bounds = F.when(row < max_rows, True).otherwise(F.raise_error(F.lit(message)))
-    one_part = df.coalesce(1).where(in_bounds)
-    one_part.write.mode("overwrite").option("header", True).csv(path)
+    parts = df.repartition(1) if one_file else df
+    if order_by:
+        parts = parts.sortWithinPartitions(*order_by)
+    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    parts.write.option("header", True).csv(staged)
+    _replace(df, staged, path)
+
+
+def _replace(df: DataFrame, staged: str, path: str) -> None:
+    session = df.sparkSession
+    hadoop = session._jvm.org.apache.hadoop.fs
+    source, target = hadoop.Path(staged), hadoop.Path(path)
+    store = target.getFileSystem(session._jsc.hadoopConfiguration())
+    store.delete(target, True)
+    if not store.rename(source, target):
+        raise OSError(f"{staged} could not take the place of {path}")
