@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from burnish.rules import Synonyms
+from burnish.rules import DIGIT_LETTERS, Synonyms
 
 
 def letters_only(text: Column) -> Column:
@@ -28,18 +28,28 @@ def term_key(text: Column, substitutions: Mapping[str, str]) -> Column:
     return F.regexp_replace(read_as_letters, "[^a-z]", "")
 
 
-def term_prefixes(term: str, min_prefix: int) -> list[str]:
-    """Every key that means `term`: its prefixes from `min_prefix` letters on, and itself."""
-    return [term[:n] for n in range(min_prefix, len(term))] + [term]
+def plain_key(term: str, substitutions: Mapping[str, str]) -> str:
+    """`term_key` of a vocabulary word; a word without a letter is refused."""
+    key = "".join(c for c in term.lower().translate(str.maketrans(dict(substitutions))) if "a" <= c <= "z")
+    if not key:
+        raise ValueError(f"a vocabulary word has no letter: {term!r}")
+    return key
 
 
-def closest_term(key: Column, vocabulary: Sequence[str], min_prefix: int) -> Column:
+def term_prefixes(key: str, min_prefix: int) -> list[str]:
+    """Every key that means the word of `key`: its prefixes from `min_prefix` letters on, and itself."""
+    return [key[:n] for n in range(min_prefix, len(key))] + [key]
+
+
+def closest_term(
+    key: Column, vocabulary: Sequence[str], min_prefix: int, substitutions: Mapping[str, str] = DIGIT_LETTERS
+) -> Column:
     """The vocabulary word that `key` equals or abbreviates, else null.
 
     When several words share a prefix the last listed one wins. All prefixes go into one literal map,
     which keeps the generated code short.
     """
-    owners = {prefix: term for term in vocabulary for prefix in term_prefixes(term, min_prefix)}
+    owners = {p: term for term in vocabulary for p in term_prefixes(plain_key(term, substitutions), min_prefix)}
     if not owners:
         return F.lit(None).cast("string")
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in owners.items() for x in pair]), key)

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.functions.text import named
-from burnish.operators.skew import fits_broadcast, join_without_hot_tasks
+from burnish.operators.skew import join_without_hot_tasks
 
 
 @dataclass(frozen=True)
@@ -23,9 +24,12 @@ class Reference:
     name: str
 
 
-def orphans(fact: DataFrame, dim: DataFrame, fk: str, pk: str) -> DataFrame:
-    """Fact rows whose key is not in the dimension. A null key is an orphan."""
-    return join_without_hot_tasks(fact, dim.select(named(pk)).distinct(), fk, pk, "left_anti")
+def orphans(fact: DataFrame, dim: DataFrame, fk: str, pk: str, **hot: Any) -> DataFrame:
+    """Fact rows whose key is not in the dimension. A null key is an orphan.
+
+    `hot`: `share`, `min_rows` and `spread_by` of `join_without_hot_tasks`.
+    """
+    return join_without_hot_tasks(fact, dim.select(named(pk)).distinct(), fk, pk, "left_anti", **hot)
 
 
 def integrity_report(fact: DataFrame, references: Sequence[Reference]) -> DataFrame:
@@ -45,12 +49,10 @@ def integrity_report(fact: DataFrame, references: Sequence[Reference]) -> DataFr
 def _violations(used: DataFrame, known: DataFrame) -> DataFrame:
     """Number of `used` keys, repeats and nulls included, that are not `known`.
 
-    With a small dimension no key moves. Otherwise the keys are counted before they are joined: a hot
-    key (null, too) leaves every task as one row, and the join reuses the partitioning of the counts.
+    The keys are counted before they are joined: a hot key (null, too) leaves every task as one row, and
+    the join reuses the partitioning of the counts.
     """
     known = known.distinct()
-    if fits_broadcast(known):
-        return used.join(known, "key", "left_anti").agg(F.count("*").alias("violation_count"))
     per_key = used.groupBy("key").agg(F.count("*").alias("n"))
     return per_key.join(known, "key", "left_anti").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("violation_count")
@@ -58,23 +60,23 @@ def _violations(used: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def enrich(
-    fact: DataFrame, dim: DataFrame, fk: str, pk: str | None = None, require_unique: bool = True
+    fact: DataFrame, dim: DataFrame, fk: str, pk: str | None = None, require_unique: bool = True, **hot: Any
 ) -> DataFrame:
     """Inner join of a fact to a dimension; orphans drop out, the dimension's key column, too.
 
     A key that occurs twice in the dimension would multiply fact rows. With `require_unique` the query
-    fails when it meets one; `duplicate_count(dim, [pk])` tells how many there are.
+    fails if there is one, whether or not a fact refers to it; `duplicate_count(dim, [pk])` tells beforehand
+    how many there are. `hot`: `share`, `min_rows` and `spread_by` of `join_without_hot_tasks`.
     """
     pk = pk or fk
     checked = assert_unique(dim, pk) if require_unique else dim
-    return join_without_hot_tasks(fact, checked, fk, pk, "inner")
+    return join_without_hot_tasks(fact, checked, fk, pk, "inner", **hot)
 
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:
     """`df` without change; reading it fails when a non-null key occurs more than once.
 
-    Columns that a query does not use are pruned as usual, and a later shuffle join on the key reuses
-    the partitioning.
+    Columns that a query does not use are pruned as usual.
     """
     others = [c for c in df.columns if c != key]
     per_key = df.where(named(key).isNotNull()).groupBy(named(key)).agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,16 +53,19 @@ def join_without_hot_tasks(
     how: str,
     share: float = 1e-5,
     min_rows: int = 1_000_000,
+    spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """`left` joined to `right` on one key, `how` being `inner`, `left` or `left_anti`.
 
     Result columns: those of `left`, then for `inner` and `left` those of `right` but its key.
 
-    When Spark is going to broadcast `right`, no row of `left` moves and the join is written as is. If
-    not, the rows of every hot key of `left` (null among them) are dealt out over its slices, and the
+    When Spark is going to broadcast `right`, no row of `left` moves and the join is written as is; the
+    size decides the plan alone, never the result. If not, the rows of every hot key of `left` (null among them) are dealt out over its slices, and the
     rows of `right` with that key are copied to each. Only hot keys are copied, and their list can be
-    broadcast because `hot_keys` bounds its length. Equal rows are dealt out, too: the slice comes from
-    the input partition and not from the content, and it stays the same when a lost task runs again.
+    broadcast because `hot_keys` bounds its length. The slice comes from the columns `spread_by` (default:
+    all of `left`) and the input partition: rows that differ are dealt out even where all rows of a key
+    lie in one partition, equal rows as far as they lie in several, and a lost task deals the same way
+    when it runs again. Name the columns that tell rows apart if the query doesn't read the others.
 
     Finding the hot keys reads the key column of `left` once more, so `left` must give the same rows
     each time it is read.
@@ -74,7 +79,7 @@ def join_without_hot_tasks(
     slices = F.coalesce(F.col(SLICES), F.lit(1))
     dealt = (
         left.join(hot, named(left_key).eqNullSafe(F.col(HOT)), "left")
-        .withColumn(SLICE, F.pmod(F.spark_partition_id(), slices))
+        .withColumn(SLICE, F.pmod(F.xxhash64(*map(named, spread_by or left.columns)) + F.spark_partition_id(), slices).cast("int"))
         .drop(HOT, SLICES)
     )
     copied = (

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from burnish.functions.measures import amount_parts, exact_mean, mean_of, merged_parts, percent, total_of
 from burnish.functions.text import named
 from burnish.operators.integrity import Reference, assert_unique, integrity_report
-from burnish.operators.skew import fits_broadcast
 from burnish.operators.standardize import label_missing
 from burnish.rules import FLAG_MISSING, FLAG_OK, FLAG_SENTINEL, UNMAPPED_LABEL
 
@@ -195,9 +194,8 @@ def revenue_by_category(
 
     All statuses count unless `statuses` names some; a null category stays null unless `label` is given.
 
-    When the materials are too large to broadcast, the orders are added up per product before the join.
-    What is then shuffled is one row per product and task, so a product with a third of all orders is
-    no heavier than any other.
+    The orders are added up per product before the join. What is shuffled is one row per product and
+    task, so a product with a third of all orders is no heavier than any other.
     """
     paid = orders.where(F.col("order_amount_clean").isNotNull())
     if statuses is not None:
@@ -206,16 +204,13 @@ def revenue_by_category(
     products = assert_unique(products, key) if require_unique else products
     measures = (F.count("order_id").alias("order_count"), amount_parts(F.col("order_amount_clean")).alias("parts"))
 
-    if fits_broadcast(products):
-        per_category = paid.join(products, key).groupBy("category").agg(*measures)
-    else:
-        per_category = (
-            paid.groupBy(named(key))
-            .agg(*measures)
-            .join(products, key)
-            .groupBy("category")
-            .agg(F.sum("order_count").alias("order_count"), merged_parts(F.col("parts")).alias("parts"))
-        )
+    per_category = (
+        paid.groupBy(named(key))
+        .agg(*measures)
+        .join(products, key)
+        .groupBy("category")
+        .agg(F.sum("order_count").alias("order_count"), merged_parts(F.col("parts")).alias("parts"))
+    )
     named_categories = label_missing(per_category, "category", label) if label else per_category
     return named_categories.select(
         "category",

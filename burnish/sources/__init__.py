@@ -1,7 +1,7 @@
 """Raw text files, catalog tables and report files."""
 
-from burnish.sources.raw import read_raw
+from burnish.sources.raw import malformed_count, read_raw
 from burnish.sources.reports import write_report
 from burnish.sources.tables import load_table, save_table
 
-__all__ = ["load_table", "read_raw", "save_table", "write_report"]
+__all__ = ["load_table", "malformed_count", "read_raw", "save_table", "write_report"]

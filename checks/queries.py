@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from burnish import operators as op
 from burnish import plans
+from burnish.functions import exact_total
 from burnish.operators.integrity import Reference
 from burnish.rules import CATEGORY_TERMS, PAYMENT_RULES, STATUS_RULES, UNMAPPED_LABEL
 from burnish.session import tune
@@ -72,7 +73,7 @@ def roundtrip_table(spark, sf_dir):
 def report_roundtrip(spark, sf_dir):
     path = scratch_dir(spark)
     report = plans.revenue_by_category(orders(spark, sf_dir), materials(spark, sf_dir))
-    write_report(report, path)
+    write_report(report, path, [F.desc("total_revenue"), "category"])
     return spark.read.schema(report.schema).csv(path, header=True)
 
 
@@ -247,6 +248,21 @@ def enriched_orders(spark, sf_dir):
 # Reports
 
 
+@query
+def small_amounts(spark, sf_dir):
+    """Amounts of more decimals than cents have: none of them is cut before it is added."""
+    tiny = (F.col("l_extendedprice") / 1e9).alias("amount")
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", tiny)
+    return lines.groupBy("l_returnflag").agg(F.count("*").alias("line_count"), exact_total(F.col("amount")).alias("total"))
+
+
+@query
+def segments_as_written(spark, sf_dir):
+    """Words of a vocabulary in upper case are found, and come back as they are written."""
+    raw = table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_mktsegment").alias("segment"))
+    return op.canonicalize_terms(raw, "segment", ["AUTOMOBILE", "BUILDING", "Machinery"], min_prefix=4)
+
+
 @query
 def row_reconciliation(spark, sf_dir):
     return plans.row_reconciliation(

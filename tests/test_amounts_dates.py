@@ -126,8 +126,7 @@ def test_totals_are_exact_to_six_decimals(spark):
 
 
 def test_total_survives_an_overflow_of_the_units(spark):
-    half = "named_struct('rows', 2L, 'exact_rows', 2L, 'units', 5000000000000000000L, 'millionths', 0L, "
-    half += "'approximate', 5e18D) AS p"
+    half = "named_struct('rows', 2L, 'high', 1164153218L, 'low', 1156841472L, 'millionths', 0L, 'rest', 0D) AS p"
     merged = merged_parts(F.col("p"))
     df = spark.sql(f"SELECT {half} UNION ALL SELECT {half}")
     assert tuple(df.agg(total_of(merged), mean_of(merged)).first()) == (1e19, 2.5e18)
@@ -135,6 +134,21 @@ def test_total_survives_an_overflow_of_the_units(spark):
     assert nan != nan
 
 
+def test_no_part_of_an_amount_is_cut(spark):
+    tiny = spark.range(0, 100_000, 1, 7).select(F.lit(4e-6 / 10).alias("a"))
+    assert tiny.agg(exact_total(F.col("a"))).first()[0] == 0.04
+    mixed = spark.createDataFrame([(2e18,), (0.07,), (-2e18,), (0.01,)], "a double")
+    assert mixed.agg(exact_total(F.col("a"))).first()[0] == 0.08
+
+
+def test_cents_add_up_alike_in_any_order(spark):
+    rng = random.Random(5)
+    cents = [rng.randrange(10**rng.randint(1, 11)) for _ in range(3000)]
+    df = spark.createDataFrame([(c / 100,) for c in cents], "a double")
+    for n in (1, 7, 64):
+        assert df.repartition(n).agg(exact_total(F.col("a"))).first()[0] == sum(cents) / 100
+
+
 def test_totals_without_a_decimal(spark):
     df = spark.createDataFrame([(1e30,), (5.0,), (None,)], "a double")
     assert tuple(df.agg(exact_total(F.col("a")), exact_mean(F.col("a"))).first()) == (1e30, 5e29)

@@ -84,6 +84,17 @@ def test_no_task_of_the_split_join_gets_a_whole_hot_key(spark, conf, skewed):
     assert per_task.agg(F.max("count")).first()[0] < 1500 < 3000
 
 
+def test_a_hot_key_in_one_partition_is_split_too(spark, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.shuffle.partitions", "24")
+    left = spark.range(20_000).select(F.lit(1).alias("k"), F.col("id").alias("v")).repartition(8, "k")
+    split = join_without_hot_tasks(left, spark.range(5).withColumnRenamed("id", "p"), "k", "p", "inner", 0.01, 1, ["v"])
+    per_task = split.groupBy(F.spark_partition_id().alias("task")).count()
+    assert per_task.agg(F.sum("count"), F.max("count")).first()[0] == 20_000
+    assert per_task.agg(F.max("count")).first()[0] < 5000
+
+
 def test_size_check(spark, conf):
     small = spark.range(10)
     assert fits_broadcast(small)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from burnish.sources import load_table, read_raw, save_table, write_report
+from burnish.sources import load_table, malformed_count, read_raw, save_table, write_report
 
 
 @pytest.fixture
@@ -55,8 +55,8 @@ def test_table_place(spark, db, tmp_path):
 def test_report_is_one_file_in_order(spark, tmp_path):
     path = str(tmp_path / "report")
     counts = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count().orderBy("k")
-    write_report(counts.limit(3), path)
-    write_report(counts, path)
+    write_report(counts.limit(3), path, ["k"])
+    write_report(counts, path, ["k"])
     (part,) = (tmp_path / "report").glob("part-*.csv")
     assert part.read_text().splitlines() == ["k,count", "0,15", "1,15"] + [f"{k},14" for k in range(2, 7)]
 
@@ -67,8 +67,33 @@ def test_empty_report_has_a_header(spark, tmp_path):
     assert part.read_text() == "id\n"
 
 
-def test_report_refuses_many_rows(spark, tmp_path):
-    write_report(spark.range(0, 50, 1, 5), str(tmp_path / "fits"), max_rows=50)
-    with pytest.raises(PySparkException, match="at most 50 rows"):
-        write_report(spark.range(0, 51, 1, 5), str(tmp_path / "not"), max_rows=50)
-    assert not list((tmp_path / "not").glob("part-*"))
+@pytest.mark.parametrize("one_file", [True, False])
+def test_report_of_many_rows(spark, tmp_path, one_file):
+    path = str(tmp_path / "report")
+    write_report(spark.range(0, 150_000, 1, 5), path, ["id"], one_file)
+    assert len(list((tmp_path / "report").glob("part-*"))) == (1 if one_file else 5)
+    assert spark.read.csv(path, header=True).selectExpr("count(*)", "sum(id)").first()[:] == (150_000, 150_000 * 149_999 / 2)
+
+
+def test_a_report_that_fails_leaves_the_earlier_one(spark, tmp_path):
+    path = str(tmp_path / "report")
+    write_report(spark.range(3), path)
+    with pytest.raises(PySparkException):
+        write_report(spark.range(3).select(F.raise_error(F.lit("no"))), path)
+    assert spark.read.csv(path, header=True).count() == 3
+
+
+def test_header_in_another_order_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n")
+    (tmp_path / "b.csv").write_text("name,id\ny,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_raw(spark, str(tmp_path)).collect()
+
+
+def test_ragged_records_are_counted(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,name\n1,x\n2\n3,y,z\n4,\n")
+    raw = read_raw(spark, str(tmp_path), corrupt="broken")
+    assert [tuple(r) for r in raw.orderBy("id").collect()] == [
+        ("1", "x", None), ("2", None, "2"), ("3", "y", "3,y,z"), ("4", None, None)]
+    assert malformed_count(raw, "broken").first()[:] == (4, 2)
+    assert malformed_count(read_raw(spark, str(tmp_path), ["id", "name"], "broken"), "broken").first()[:] == (4, 2)
