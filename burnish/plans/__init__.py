@@ -12,6 +12,7 @@ from burnish.plans.jobs import (
 from burnish.plans.reports import (
     customer_quality_summary,
     date_quality,
+    duplicate_keys,
     material_clean_rate,
     material_quality_by_category,
     missing_rate,
@@ -31,7 +32,7 @@ from burnish.plans.reports import (
 
 __all__ = [
     "clean_customers", "clean_materials", "clean_orders", "customer_quality_summary", "date_quality",
-    "load_customers", "load_materials", "load_orders", "material_clean_rate",
+    "duplicate_keys", "load_customers", "load_materials", "load_orders", "material_clean_rate",
     "material_quality_by_category", "missing_rate", "order_integrity", "orders_summary", "parse_success",
     "payment_distribution", "payment_status_crosstab", "quality_reports", "reconciliation_summary",
     "revenue_by_category", "row_reconciliation", "share_of_total", "status_distribution",

@@ -8,6 +8,7 @@ in between costs its own tasks and never the cleaning.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,16 @@ from burnish.operators.dedup import dedup_keep_first
 from burnish.operators.standardize import flag_missing, normalize_phone, split_multivalue, standardize_names
 from burnish.operators.vocabulary import canonicalize_terms, flag_unmapped, map_synonyms
 from burnish.plans import reports
-from burnish.rules import CATEGORY_TERMS, PAYMENT_RULES, STATUS_RULES, Synonyms
+from burnish.rules import (
+    CATEGORY_TERMS,
+    DATE_FORMATS,
+    DATE_SENTINELS,
+    DIGIT_LETTERS,
+    MISSING_TOKENS,
+    PAYMENT_RULES,
+    STATUS_RULES,
+    Synonyms,
+)
 from burnish.sources import load_table, read_raw, save_table, write_report
 
 CUSTOMERS = "customer_master"
@@ -33,26 +43,36 @@ def clean_customers(
     order_by: Sequence[str],
     device_col: str = "device_id(s)",
     copies: str = "source_rows",
+    key: str = "customer_id",
+    separator: str = ";",
+    phone_digits: int = 10,
 ) -> DataFrame:
-    """One standardised row per `customer_id`; `copies` tells how many raw rows stand behind it.
+    """One standardised row per `key`; `copies` tells how many raw rows stand behind it.
 
     Duplicates go first: only raw columns are shuffled, and only the kept rows are cleaned.
     """
-    df = dedup_keep_first(raw, ["customer_id"], order_by, copies)
+    df = dedup_keep_first(raw, [key], order_by, copies)
     df = standardize_names(df, ["first_name", "last_name"])
     df = flag_missing(df, "email", "email_missing")
-    df = normalize_phone(df, "phone_number")
-    return split_multivalue(df, device_col)
+    df = normalize_phone(df, "phone_number", keep=phone_digits)
+    return split_multivalue(df, device_col, separator)
 
 
-def clean_materials(raw: DataFrame, vocabulary: Sequence[str] = CATEGORY_TERMS) -> DataFrame:
+def clean_materials(
+    raw: DataFrame,
+    vocabulary: Sequence[str] = CATEGORY_TERMS,
+    substitutions: Mapping[str, str] = DIGIT_LETTERS,
+    min_prefix: int = 3,
+    missing_tokens: Sequence[str] = MISSING_TOKENS,
+    minimum_price: float = 0,
+) -> DataFrame:
     """Canonical categories beside the raw ones, numeric prices, a flag for each defect."""
     df = raw.withColumn("category_raw", named("category"))
-    df = canonicalize_terms(df, "category", vocabulary)
+    df = canonicalize_terms(df, "category", vocabulary, substitutions, min_prefix)
     df = flag_unmapped(df, "category", "category_missing")
-    df = null_tokens(df, "price", out="price_str")
+    df = null_tokens(df, "price", missing_tokens, out="price_str")
     df = parse_amount(df, "price_str", "price_clean", text="price_str")
-    return flag_invalid_amount(df, "price_clean", "price_invalid")
+    return flag_invalid_amount(df, "price_clean", "price_invalid", minimum_price)
 
 
 def clean_orders(
@@ -60,13 +80,16 @@ def clean_orders(
     payments: Sequence[Synonyms] = PAYMENT_RULES,
     statuses: Sequence[Synonyms] = STATUS_RULES,
     mark_unparsed: bool = False,
+    sentinels: Sequence[str] = DATE_SENTINELS,
+    date_formats: Sequence[str] = DATE_FORMATS,
+    missing_tokens: Sequence[str] = MISSING_TOKENS,
 ) -> DataFrame:
     """Canonical payment and status, parsed dates and amounts, a flag for each defect."""
     df = map_synonyms(raw, "payment_method", payments, letters=True, out="payment_method_clean")
     df = map_synonyms(df, "status", statuses, letters=False, out="status_clean")
-    df = flag_sentinel(df, "order_date", out="order_date_flag")
-    df = parse_dates(df, "order_date", mark_unparsed=mark_unparsed)
-    df = null_tokens(df, "order_amount", out="order_amount_str")
+    df = flag_sentinel(df, "order_date", sentinels, out="order_date_flag")
+    df = parse_dates(df, "order_date", date_formats, mark_unparsed=mark_unparsed)
+    df = null_tokens(df, "order_amount", missing_tokens, out="order_amount_str")
     df = parse_amount(df, "order_amount_str", "order_amount_clean")
     return flag_missing_amount(df, "order_amount_clean", "order_amount_missing").drop("order_amount_str")
 
@@ -78,22 +101,26 @@ def load_customers(
     order_by: Sequence[str],
     device_col: str = "device_id(s)",
     columns: Sequence[str] | None = None,
+    **rules: Any,
 ) -> DataFrame:
-    save_table(clean_customers(read_raw(spark, path, columns), order_by, device_col), db, CUSTOMERS)
+    """`rules`: those of `clean_customers`."""
+    save_table(clean_customers(read_raw(spark, path, columns), order_by, device_col, **rules), db, CUSTOMERS)
     return load_table(spark, db, CUSTOMERS)
 
 
 def load_materials(
-    spark: SparkSession, path: str, db: str, columns: Sequence[str] | None = None
+    spark: SparkSession, path: str, db: str, columns: Sequence[str] | None = None, **rules: Any
 ) -> DataFrame:
-    save_table(clean_materials(read_raw(spark, path, columns)), db, MATERIALS)
+    """`rules`: those of `clean_materials`."""
+    save_table(clean_materials(read_raw(spark, path, columns), **rules), db, MATERIALS)
     return load_table(spark, db, MATERIALS)
 
 
 def load_orders(
-    spark: SparkSession, path: str, db: str, columns: Sequence[str] | None = None
+    spark: SparkSession, path: str, db: str, columns: Sequence[str] | None = None, **rules: Any
 ) -> DataFrame:
-    save_table(clean_orders(read_raw(spark, path, columns)), db, ORDERS)
+    """`rules`: those of `clean_orders`."""
+    save_table(clean_orders(read_raw(spark, path, columns), **rules), db, ORDERS)
     return load_table(spark, db, ORDERS)
 
 
@@ -102,10 +129,18 @@ def quality_reports(spark: SparkSession, db: str, out_dir: str) -> Mapping[str,
 
     All order counts come from the saved `orders_summary`. Beyond that the orders are read for their keys
     (integrity) and for their amounts (revenue).
+
+    The keys of both masters are checked first. If one repeats, `duplicate_keys` is the only report that is
+    written, and the job fails: no report is left over from a run that stopped half-way.
     """
     customers = load_table(spark, db, CUSTOMERS)
     materials = load_table(spark, db, MATERIALS)
     orders = load_table(spark, db, ORDERS)
+    repeats = reports.duplicate_keys([(CUSTOMERS, customers, "customer_id"), (MATERIALS, materials, "product_id")])
+    write_report(repeats, f"{out_dir}/duplicate_keys", ["table_name"])
+    found = {r.table_name: r.duplicate_count for r in repeats.collect() if r.duplicate_count}  # one row a table
+    if found:
+        raise ValueError(f"master keys repeat, no report is written: {found}")
     save_table(reports.orders_summary(orders), db, ORDERS_SUMMARY)
     summary, rows = load_table(spark, db, ORDERS_SUMMARY), "row_count"
 
@@ -118,7 +153,7 @@ def quality_reports(spark: SparkSession, db: str, out_dir: str) -> Mapping[str,
         "orders_status_distribution": reports.status_distribution(summary, rows),
         "orders_missing_amounts": reports.missing_rate(summary, "order_amount_missing", weight=rows),
         "referential_integrity": reports.order_integrity(orders, customers, materials),
-        "revenue_by_category": reports.revenue_by_category(orders, materials),
+        "revenue_by_category": reports.revenue_by_category(orders, materials, require_unique=False),
         "payment_status_crosstab": reports.payment_status_crosstab(summary, rows),
         "reconciliation_summary": reports.reconciliation_summary(customers, materials, summary, weight=rows),
     }

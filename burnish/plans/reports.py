@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from burnish.functions.measures import amount_parts, exact_mean, mean_of, merged_parts, percent, total_of
 from burnish.functions.text import named
+from burnish.operators.dedup import duplicate_count
 from burnish.operators.integrity import Reference, assert_unique, integrity_report
 from burnish.operators.standardize import label_missing
 from burnish.rules import FLAG_MISSING, FLAG_OK, FLAG_SENTINEL, UNMAPPED_LABEL
@@ -46,6 +47,15 @@ def row_reconciliation(tables: Sequence[tuple[str, DataFrame, DataFrame]]) -> Da
     return both.withColumn("removed_count", F.col("raw_count") - F.col("clean_count")).orderBy("table_name")
 
 
+def duplicate_keys(tables: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Per `(name, table, key)`: `row_count`, `key_count` and `duplicate_count`, null keys left aside."""
+    each = [
+        duplicate_count(df.select(named(key)).where(named(key).isNotNull()), [key]).select(F.lit(name).alias("table_name"), "*")
+        for name, df, key in tables
+    ]
+    return reduce(DataFrame.unionByName, each).orderBy("table_name")
+
+
 def missing_rate(df: DataFrame, flag: str, prefix: str = "missing", weight: str | None = None) -> DataFrame:
     """One row: `total_rows`, `<prefix>_count` and `<prefix>_pct` of a boolean flag."""
     missing = _rows_if(named(flag), weight)

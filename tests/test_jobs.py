@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from burnish import plans
+from burnish.rules import Synonyms
 from burnish.sources import load_table, read_raw
 
 MATERIALS_CSV = os.environ.get("MATERIALS_CSV")
@@ -84,3 +85,26 @@ def test_from_files_to_reports(spark, tmp_path):
         "material_master,category_unmapped,1", "material_master,invalid_price,2",
         "orders_fact,missing_date,1", "orders_fact,missing_order_amount,1", "orders_fact,sentinel_placeholder_date,1"]
     assert load_table(spark, db, "orders_summary").count() == 4
+
+
+def test_a_repeated_key_leaves_the_duplicate_report_alone(spark, tmp_path):
+    db = f"twice_{abs(hash(tmp_path))}"
+    files = {
+        "customers": "customer_id,first_name,last_name,email,phone_number,device_id(s)\nc1,a,b,,,\n",
+        "materials": "product_id,product_name,category,price\np1,Ball,Hand Tools,?\np1,Ball,hand-tools,2\n",
+        "orders": "order_id,customer_id,product_id,payment_method,status,order_date,order_amount\no1,c1,p2,cash,won,1.5.2023,3\n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    plans.load_customers(spark, str(tmp_path / "customers.csv"), db, ["email"], key="customer_id", separator="|")
+    materials = plans.load_materials(
+        spark, str(tmp_path / "materials.csv"), db, vocabulary=["Hand Tools", "Garden"], missing_tokens=["?"]
+    )
+    assert {tuple(r) for r in materials.select("category", "price_clean").collect()} == {("Hand Tools", None), ("Hand Tools", 2.0)}
+    orders = plans.load_orders(
+        spark, str(tmp_path / "orders.csv"), db, statuses=[Synonyms("success", equals=("won",))], date_formats=["d.M.yyyy"]
+    )
+    assert [(r.status_clean, str(r.order_date_clean)) for r in orders.collect()] == [("success", "2023-05-01")]
+    with pytest.raises(ValueError, match="material_master.*1"):
+        plans.quality_reports(spark, db, str(tmp_path / "reports"))
+    assert [p.name for p in (tmp_path / "reports").iterdir()] == ["duplicate_keys"]
