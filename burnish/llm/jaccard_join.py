@@ -100,7 +100,8 @@ def fingerprints(token: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarra
 
 
 def shingle_sets(docs: DataFrame, size: int, plan: Fragments) -> DataFrame:
-    """`doc_id`, `n_shingles`, `fp` (equal for equal sets), `needed` (shared signatures) of every document."""
+    """`doc_id`, `row_hash` (of the text), `n_shingles`, `fp` (equal for equal sets), `needed` (shared signatures) of
+    every row."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -108,9 +109,11 @@ def shingle_sets(docs: DataFrame, size: int, plan: Fragments) -> DataFrame:
             n = np.bincount(doc, minlength=part.num_rows)
             fp = fingerprints(token, doc, n).view(np.int64)
             numbers = [pa.array(x, pa.int64()) for x in (n, fp, plan.needed(token, doc, n))]
-            yield pa.record_batch([part.column(0).cast(pa.int64()), *numbers], ["doc_id", "n_shingles", "fp", "needed"])
+            columns = [part.column(0).cast(pa.int64()), part.column(2), *numbers]
+            yield pa.record_batch(columns, ["doc_id", "row_hash", "n_shingles", "fp", "needed"])
 
-    return docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, n_shingles long, fp long, needed long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("row_hash"))
+    return rows.mapInArrow(counted, "doc_id long, row_hash long, n_shingles long, fp long, needed long")
 
 
 def _runs(sig: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,8 +249,91 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return total.where(den * F.col("common") >= num * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b")
 
 
+def best_centres(groups: DataFrame) -> DataFrame:
+    """`a`, `b`: for each set the centre with which it shares the most signatures.
+
+    The centre of a signature is its set with the most company: the original among its copies, if it is there.
+    """
+    size = groups.groupBy("g").agg(F.count("*").alias("size"))
+    company = groups.join(size, "g").groupBy("fp").agg(F.sum("size").alias("company"))
+    known = groups.join(company, "fp")
+    centre = known.groupBy("g").agg(F.max_by("fp", F.struct("company", "fp")).alias("centre"))
+    each = known.join(centre, "g").where("fp <> centre").groupBy("fp", "centre").agg(F.count("*").alias("same"))
+    best = each.groupBy("fp").agg(F.max_by("centre", F.struct("same", "centre")).alias("b"))
+    return best.select(F.col("fp").alias("a"), "b")
+
+
+def links_in_blocks(apart: DataFrame, sets: DataFrame, plan: Fragments) -> DataFrame:
+    """Links (`a`, `b`) that join the sets of `apart` (`fp`, and `low`, a set that it meets) to the components that all their links make.
+
+    Sets that meet, directly or by way of others, are dealt out into blocks of one level of size. Each two blocks of the
+    same or neighbouring levels come together in one task, which adds up the partial overlaps of all pairs and hands on
+    a spanning forest of the links: no more rows than sets.
+    """
+    meet = components(apart.select(F.col("fp").alias("a"), F.col("low").alias("b")))
+    sizes = sets.groupBy("fp").agg(F.first("n").alias("n"))
+    level = F.lit(0)
+    for k, top in enumerate(plan.top[:-1].tolist()):
+        level = F.when(F.col("n") > top, k + 1).otherwise(level)
+    placed = meet.select(F.col("node").alias("fp"), F.col("component").alias("meet")).join(sizes, "fp")
+    placed = saved(placed.withColumn("level", level))
+    room = F.greatest(F.lit(16), F.least(F.lit(512), (F.lit(1 << 18) / F.max("n")).cast("int")))
+    blocks = placed.groupBy("meet", "level").agg(F.ceil(F.count("*") / room).cast("int").alias("blocks"))
+    after = blocks.select("meet", (F.col("level") - 1).alias("level"), F.col("blocks").alias("up"))
+    before = blocks.select("meet", (F.col("level") + 1).alias("level"), F.col("blocks").alias("down"))
+    dealt = placed.join(blocks, ["meet", "level"]).join(after, ["meet", "level"], "left").join(before, ["meet", "level"], "left")
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
+    task = lambda lo, i, hi, j: F.struct(lo.alias("lo"), i.alias("i"), hi.alias("hi"), j.alias("j"))
+    count = lambda n: F.sequence(F.lit(1), F.coalesce(n, F.lit(0)))
+    some = lambda n: F.when(F.coalesce(n, F.lit(0)) > 0, count(n)).otherwise(F.array().cast("array<int>"))
+    here = F.transform(
+        some(F.col("blocks")),
+        lambda j: task(F.col("level"), F.least(F.col("own"), j - 1), F.col("level"), F.greatest(F.col("own"), j - 1)),
+    )
+    up = F.transform(some(F.col("up")), lambda j: task(F.col("level"), F.col("own"), F.col("level") + 1, j - 1))
+    down = F.transform(some(F.col("down")), lambda j: task(F.col("level") - 1, j - 1, F.col("level"), F.col("own")))
+    dealt = dealt.withColumn("own", own).select("meet", "level", "own", "fp", F.explode(F.concat(here, up, down)).alias("task"))
+    num, den = plan.num, plan.den
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates(["fp", "part"])
+        first = rows.drop_duplicates("fp")
+        fps, n = first["fp"].to_numpy(), first["n"].to_numpy()
+        at = {f: k for k, f in enumerate(fps.tolist())}
+        common = np.zeros((len(fps), len(fps)), np.float32)
+        for _, part in rows.groupby("part"):
+            who = np.repeat([at[f] for f in part["fp"].tolist()], [len(t) for t in part["tokens"]])
+            _, token, often = np.unique(np.concatenate(part["tokens"].tolist()), return_inverse=True, return_counts=True)
+            keep = often[token] > 1
+            token, who = np.unique(token[keep], return_inverse=True)[1], who[keep]
+            order = np.argsort(token, kind="stable")
+            token, who = token[order], who[order]
+            for lo in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+                a, b = np.searchsorted(token, [lo, lo + 4096])
+                has = np.zeros((len(fps), 4096), np.float32)
+                has[who[a:b], token[a:b] - lo] = 1
+                common += has @ has.T
+        common = common.astype(np.int64)
+        near = den * common >= num * (n[:, None] + n[None, :] - common)
+        left, tree = np.ones(len(fps), dtype=bool), []
+        for root in range(len(fps)):
+            if not left[root]:
+                continue
+            left[root], edge = False, [root]
+            while edge:
+                k = edge.pop()
+                new = np.flatnonzero(near[k] & left)
+                left[new] = False
+                tree += [(fps[j], fps[k]) for j in new]
+                edge += new.tolist()
+        return pd.DataFrame(tree, columns=["a", "b"], dtype=np.int64)
+
+    return dealt.select("meet", "task", "fp").join(sets, "fp").groupBy("meet", "task").applyInPandas(compare, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """`doc_id`, `n_shingles`, `component_id` of every row of `docs`.
+    """`doc_id`, `row_hash`, `n_shingles`, `component_id`, `component` of every row of `docs`; `row_hash` is that of the
+    text, `component` a number of the component's own.
 
     Rows link when the Jaccard similarity of their shingle sets is at least num / den; `component_id` is the smallest
     doc_id reachable by links. Words are lower-cased (A-Z) runs without ASCII white space; a text of fewer than `size`
@@ -255,7 +341,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     doc_id keep a null component. Repeated ids are rows of their own. Other columns are left aside. No row gives none.
 
     Equal sets are one node, so copies are never paired. Documents of one near-copy group are first compared with a
-    centre; only those that this leaves apart are compared with each other.
+    centre; only groups that this leaves in parts are compared each with each, block by block.
     """
     plan = Fragments(num, den)
     rows = saved(shingle_sets(docs, size, plan))
@@ -274,37 +360,42 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
         ids = F.broadcast(ids)
     sets = saved(set_parts(docs.join(ids, "doc_id", "left_semi"), size))
 
-    each = members.groupBy("fp", "centre").agg(F.count("*").alias("same"))
-    near = each.join(alive.select("fp"), "fp", "left_semi")
-    near = near.join(alive.select(F.col("fp").alias("centre")), "centre", "left_semi")
-    best = near.groupBy("fp").agg(F.max_by("centre", F.struct("same", "centre")).alias("b"))
-    tested = saved(best.select(F.col("fp").alias("a"), "b"))
-    links = saved(linked(tested, sets, num, den))
-    groups = groups.join(alive.select("fp"), "fp", "left_semi")
-    for last in (False, True):
-        label = components(links).select(F.col("node").alias("fp"), "component")
-        placed = groups.join(label, "fp", "left").select("g", "fp", F.coalesce("component", "fp").alias("label"))
-        mixed = placed.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        apart = placed.join(mixed.select("g", "low"), "g")
-        if last:
-            left = apart.select("g", F.col("fp").alias("a"), F.col("label").alias("label_a"))
-            right = apart.select("g", F.col("fp").alias("b"), F.col("label").alias("label_b"))
-            pairs = left.join(right, "g").where("label_a < label_b")
-        else:
-            one = apart.groupBy("g", "label", "low").agg(F.min("fp").alias("a"))
-            zero = one.where("label = low").select("g", F.col("a").alias("b"))
-            pairs = one.where("label <> low").join(zero, "g")
-        pairs = saved(pairs.select("a", "b").distinct())
-        new = pairs.join(tested, ["a", "b"], "left_anti")
-        new = new.join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        found = saved(linked(new, sets, num, den))
-        links = links.unionByName(found)
-        tested = tested.unionByName(pairs)
+    groups = saved(groups.join(alive.select("fp"), "fp", "left_semi"))
+    links = saved(linked(best_centres(groups), sets, num, den))
+    label = components(links).select(F.col("node").alias("fp"), "component")
+    placed = groups.join(label, "fp", "left").select("g", "fp", F.coalesce("component", "fp").alias("label"))
+    mixed = placed.groupBy("g").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("fp").alias("low"))
+    apart = saved(placed.join(mixed.where("least < most").select("g", "low"), "g").select("fp", "low").distinct())
+    links = links.unionByName(links_in_blocks(apart, sets, plan))
 
     node = components(links).select(F.col("node").alias("fp"), "component")
     joined = classes.join(node, "fp", "left")
     lowest = joined.where("component is not null").groupBy("component").agg(F.min("first_id").alias("lowest"))
-    final = joined.join(lowest, "component", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id"))
+    final = joined.join(lowest, "component", "left").select(
+        "fp", F.coalesce("lowest", "first_id").alias("component_id"), F.coalesce("component", "fp").alias("component")
+    )
     kept = rows.join(final, "fp", "left")
     own = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component_id")).otherwise(F.col("doc_id"))
-    return kept.select("doc_id", "n_shingles", own.alias("component_id"))
+    return kept.select("doc_id", "row_hash", "n_shingles", own.alias("component_id"), "component")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of `docs`, all columns, that stand for their component: that of the smallest doc_id, and of its rows, if
+    the id is repeated, one. Rows that link with nothing stay, also those without text or id."""
+    rows = saved(jaccard_components(docs, size, num, den).where("doc_id is not null and n_shingles > 0"))
+    first = rows.where("doc_id = component_id").groupBy("component").agg(F.min("row_hash").alias("first_hash"))
+    stays = (F.col("doc_id") == F.col("component_id")) & (F.col("row_hash") == F.col("first_hash"))
+    gone = rows.join(first, "component").where(~stays).select("doc_id", "row_hash").distinct()
+    gone = saved(gone.select(F.col("doc_id").alias("_gone_id"), F.col("row_hash").alias("_gone_hash")))
+    again = rows.groupBy("doc_id", "row_hash").count().where("count > 1")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    same = (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_hash"])
+    left = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return left
+    # Rows of the same id and text: without words or id they all stay, of any others the first.
+    worded = F.col("doc_id").isNotNull() & F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    left = left.withColumn("_worded", worded)
+    ones = left.where("_worded").dropDuplicates(["doc_id", "text"])
+    return ones.unionByName(left.where("not _worded")).drop("_worded")
