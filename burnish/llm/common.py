@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,13 @@ def local_path(uri: str) -> str:
     return uri
 
 
+def workers_find_this(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, if it isn't installed."""
+    paths = [str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")]
+    if paths[0] not in paths[1].split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, paths))
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the text of an id, modulo `divisor`."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))

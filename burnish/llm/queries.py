@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from burnish.llm.common import workers_find_this
 from burnish.llm.decontaminate import CONTAMINATION_SQL, contamination_table
 from burnish.llm.jaccard_join import jaccard_components
 from burnish.llm.language_id import language_table
@@ -22,7 +23,11 @@ ORACLE: dict[str, str] = {}
 
 
 def query(build):
-    QUERIES[build.__name__] = build
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        workers_find_this(spark)
+        return build(spark, sf_dir)
+
+    QUERIES[build.__name__] = run
     return build
 
 
