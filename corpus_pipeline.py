@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from burnish.llm.common import saved
+from burnish.llm.common import saved, workers_find_this
 from burnish.llm.decontaminate import decontaminated
 from burnish.llm.jaccard_join import one_of_each
 from burnish.llm.language_id import UNDECIDED, identify_language, sample_texts
@@ -63,6 +63,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written as Parquet and read again as the next one's input."""
+    workers_find_this(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
