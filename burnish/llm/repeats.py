@@ -5,7 +5,8 @@ every string has an anchor, the smallest gram hash in it, and equal strings have
 occurs once are unique, and strings within a context (all strings of one anchor) that occurs as a whole elsewhere are
 repeats. The contexts left over meet by their anchor, and a suffix array over each bucket's contexts decides: its
 sampled triples are sorted, named and sorted again by their names, the remaining suffixes are merged in, and neighbours
-are compared by their first bytes. Statuses and results lie in sorted arrays of the shared folder, which tasks map into
+are compared by their first bytes. An anchor with very many contexts is hot: its strings meet one by one, by their own
+hashes, those whose hash occurs once left out. Statuses and results lie in sorted arrays of the shared folder, which tasks map into
 memory, so texts are never shuffled.
 """
 
@@ -27,7 +28,8 @@ LENGTH = 200
 GRAM = 64
 KEY = U((1 << 48) - 1)
 BUCKET_BYTES = 16 << 20  # text for each bucket
-SETTLED, PARTNER, OPEN = 1, 2, 3
+HOT_CONTEXTS = 4096  # an anchor with more different contexts (about 1 MB) is dealt out by string
+SETTLED, PARTNER, OPEN, HOT = 1, 2, 3, 4  # HOT: an open context or a partner of a hot anchor
 
 
 def suffix_order(s: np.ndarray) -> np.ndarray:
@@ -64,7 +66,12 @@ def suffix_order(s: np.ndarray) -> np.ndarray:
     sampled = sampled[sampled < n]
     zero = np.arange(0, n, 3)
     near = lambda i: t[i] * big + rank[i + 1]
-    far = lambda i: (t[i] * top + t[i + 1]) * big + rank[i + 2]
+    pair = lambda i: t[i] * top + t[i + 1]
+    if top * top * big < 1 << 62:
+        far = lambda i: pair(i) * big + rank[i + 2]
+    else:  # The pairs get names, as the product of all three would pass 63 bits.
+        pairs = np.unique(pair(np.arange(n)))
+        far = lambda i: np.searchsorted(pairs, pair(i)) * big + rank[i + 2]
     zero = zero[np.argsort(near(zero), kind="stable")]
     first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     place = np.arange(len(zero)) + np.searchsorted(near(first), near(zero)) + np.searchsorted(far(second), far(zero))
@@ -113,6 +120,7 @@ class Contexts:
         at = at[start]
         doc = np.searchsorted(self.base + size, start, "right")
         edge = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])))
+        self.sums, self.back = sums, back
         self.lo, self.doc = start[edge], doc[edge]
         self.count = np.diff(np.append(edge, len(start)))
         end = self.lo + self.count - 1 + LENGTH
@@ -123,6 +131,15 @@ class Contexts:
     def text(self, k: int) -> bytes:
         return self.raw[self.lo[k] : self.lo[k] + self.count[k] - 1 + LENGTH].tobytes()
 
+    def strings(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The strings of these contexts: the place of each within the batch, its context (an index of `some`), its hash."""
+        count = self.count[some]
+        of = np.repeat(np.arange(len(some)), count)
+        at = self.lo[some][of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        if not len(at):
+            return at, of, np.zeros(0, U)
+        return at, of, mix((self.sums[at + LENGTH] - self.sums[at]) * self.back[at])
+
 
 def _bucket(anchor: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(anchor) >> U(17)) % U(buckets)
@@ -159,9 +176,23 @@ class Lookup:
                     out[at[keys[place] == whole[at]]] = value
         return out
 
+    def among(self, name: str, keys: np.ndarray, buckets: int) -> np.ndarray:
+        """Which of `keys` are in the files `name`-bucket."""
+        out = np.zeros(len(keys), dtype=bool)
+        bucket = _bucket(keys, buckets)
+        order = np.lexsort((keys, bucket))
+        for a, b in _spans(bucket[order]):
+            at = order[a:b]
+            found = self(f"{name}-{int(bucket[at[0]])}")
+            if found is not None and len(found[0]):
+                place = np.minimum(np.searchsorted(found[0], keys[at]), len(found[0]) - 1)
+                out[at] = found[0][place] == keys[at]
+        return out
+
 
-def settle(docs: DataFrame, buckets: int, folder: str) -> None:
-    """Write the status of every context whose anchor occurs more than once, by bucket of the anchor.
+def settle(docs: DataFrame, buckets: int, folder: str) -> int:
+    """Write the status of every context whose anchor occurs more than once, by bucket of the anchor. Returns the number
+    of hot anchors.
 
     A task sends a context once, with the mark of a second occurrence, however often it has it.
     """
@@ -180,22 +211,103 @@ def settle(docs: DataFrame, buckets: int, folder: str) -> None:
             ]
             yield pa.record_batch(columns, ["bucket", "anchor", "whole", "times"])
 
+    limit = HOT_CONTEXTS
+
     def judged(rows: pd.DataFrame) -> pd.DataFrame:
         times = np.frombuffer(b"".join(rows["times"]), np.uint8).astype(np.int64)
         keys = [unpack(rows["anchor"].tolist()), unpack(rows["whole"].tolist())]
         (anchor, whole), (n,) = summed(keys, [times])
-        kinds = np.zeros(len(n), np.int8)
+        kinds, hot = np.zeros(len(n), np.int8), 0
         for a, b in _spans(anchor):
-            if b - a > 1:
+            if b - a > limit:
+                kinds[a:b], hot = HOT, hot + 1
+            elif b - a > 1:
                 kinds[a:b] = np.where(n[a:b] > 1, PARTNER, OPEN)
             elif n[a] > 1:
                 kinds[a] = SETTLED
         bucket = int(rows["bucket"].iloc[0])
-        write_arrays(folder, f"status-{bucket}", [np.sort(whole[kinds == k]) for k in (SETTLED, PARTNER, OPEN)])
-        return pd.DataFrame({"bucket": [bucket]})
+        write_arrays(folder, f"status-{bucket}", [np.sort(whole[kinds == k]) for k in (SETTLED, PARTNER, OPEN, HOT)])
+        return pd.DataFrame({"hot": [hot]})
 
     blobs = docs.select("text").mapInArrow(counted, "bucket long, anchor binary, whole binary, times binary")
-    blobs.groupBy("bucket").applyInPandas(judged, "bucket long").write.format("noop").mode("overwrite").save()
+    return blobs.groupBy("bucket").applyInPandas(judged, "hot long").agg(F.sum("hot")).first()[0] or 0
+
+
+def decide_hot(docs: DataFrame, buckets: int, folder: str) -> None:
+    """Write the hashes of the strings of hot anchors that are repeats, by bucket of the hash.
+
+    Equal strings have equal hashes, so a string whose hash occurs once is unique. The others are compared byte by byte
+    by a suffix array, in buckets by their hash: a slice of a task sends a string once or, if it has it more often, twice.
+    """
+
+    def distinct(found: Contexts, look: Lookup) -> tuple[np.ndarray, np.ndarray]:
+        some = np.flatnonzero(look.status(found.anchor, found.whole, buckets) == HOT)
+        at, _, key = found.strings(some)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+        second = np.append(False, first[:-1]) & ~first if len(key) else first
+        return at[first | second], key[first | second]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Lookup(folder)
+        for part in slices(batches, limit=4 << 20):
+            _, key = distinct(Contexts(texts(part)), look)
+            (bucket, key), (n,) = summed([_bucket(key, buckets), key], [np.ones(len(key), np.int64)])
+            spans = _spans(bucket)
+            columns = [
+                pa.array([int(bucket[a]) for a, _ in spans], pa.int64()),
+                pa.array([key[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()),
+                pa.array([n[a:b].astype(np.uint8).tobytes() for a, b in spans], pa.binary()),
+            ]
+            yield pa.record_batch(columns, ["bucket", "key", "times"])
+
+    def several(rows: pd.DataFrame) -> pd.DataFrame:
+        key = np.frombuffer(b"".join(rows["key"]), "<u8")
+        (key,), (n,) = summed([key], [np.frombuffer(b"".join(rows["times"]), np.uint8).astype(np.int64)])
+        write_arrays(folder, f"several-{int(rows['bucket'].iloc[0])}", [key[n > 1]])
+        return pd.DataFrame({"n": [int((n > 1).sum())]})
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Lookup(folder)
+        for part in slices(batches, limit=4 << 20):
+            found = Contexts(texts(part))
+            at, key = distinct(found, look)
+            keep = look.among("several", key, buckets)
+            at, key = at[keep], key[keep]
+            bucket = _bucket(key, buckets)
+            order = np.lexsort((key, bucket))
+            at, key, bucket = at[order], key[order], bucket[order]
+            spans = _spans(bucket)
+            view = np.lib.stride_tricks.sliding_window_view(found.raw, LENGTH) if len(at) else None
+            columns = [
+                pa.array([int(bucket[a]) for a, _ in spans], pa.int64()),
+                pa.array([key[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary()),
+                pa.array([view[at[a:b]].tobytes() for a, b in spans], pa.binary()),
+            ]
+            yield pa.record_batch(columns, ["bucket", "key", "strings"])
+
+    def decided(rows: pd.DataFrame) -> pd.DataFrame:
+        key = np.frombuffer(b"".join(rows["key"]), "<u8")
+        text = np.frombuffer(b"".join(rows["strings"]), np.uint8)
+        order = np.argsort(key, kind="stable")
+        key, text = key[order], text.reshape(-1, LENGTH)[order]
+        keys = []
+        # In parts of about BUCKET_BYTES; the strings of a hash stay together.
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        cut = edge[np.unique(edge * LENGTH // BUCKET_BYTES, return_index=True)[1]]
+        for a, b in zip(cut, [*cut[1:], len(key)]):
+            again = repeated_windows(text[a:b].ravel(), np.arange(b - a) * LENGTH)
+            keys.append(np.unique(key[a:b][again]))
+        bucket = int(rows["bucket"].iloc[0])
+        write_arrays(folder, f"twice-{bucket}", [np.concatenate(keys)])
+        return pd.DataFrame({"bucket": [bucket]})
+
+    rows = docs.select("text")
+    counts = rows.mapInArrow(counted, "bucket long, key binary, times binary")
+    counts.groupBy("bucket").applyInPandas(several, "n long").write.format("noop").mode("overwrite").save()
+    strings = rows.mapInArrow(sent, "bucket long, key binary, strings binary")
+    strings.groupBy("bucket").applyInPandas(decided, "bucket long").write.format("noop").mode("overwrite").save()
 
 
 def repeated_windows(text: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -279,6 +391,14 @@ def covered(docs: list[bytes], rows: np.ndarray, look: Lookup, buckets: int) ->
     sure = (status == SETTLED) | (status == PARTNER)
     start = (found.lo - found.base[found.doc])[sure] if len(sure) else np.zeros(0, np.int64)
     end, doc = (start + found.count[sure] - 1 + LENGTH, found.doc[sure]) if len(sure) else (start, start)
+    if len(hot := np.flatnonzero(status == HOT)):
+        at, of, key = found.strings(hot)
+        twice = look.among("twice", key, buckets)
+        of = found.doc[hot][of[twice]]
+        at = at[twice] - found.base[of]
+        start, end, doc = np.append(start, at), np.append(end, at + LENGTH), np.append(doc, of)
+        order = np.argsort(doc, kind="stable")
+        start, end, doc = start[order], end[order], doc[order]
     bounds = np.searchsorted(doc, np.arange(len(docs) + 1))
     for k, row in enumerate(rows.tolist()):
         a, b = start[bounds[k] : bounds[k + 1]], end[bounds[k] : bounds[k + 1]]
@@ -303,7 +423,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, size // BUCKET_BYTES)
     folder = local_path(shared_dir(docs.sparkSession))
-    settle(docs, buckets, folder)
+    if settle(docs, buckets, folder):
+        decide_hot(docs, buckets, folder)
     decide_open(docs, buckets, folder)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,6 +120,25 @@ def test_suffix_order():
         assert repeats.suffix_order(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
+def test_suffix_order_of_millions_of_names():
+    s = np.random.default_rng(2).permutation(5_000_000) + 1
+    assert (repeats.suffix_order(s) == np.argsort(s)).all()
+
+
+def test_strings_of_hot_anchors_meet_one_by_one(spark, monkeypatch):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh é") for _ in range(260))
+    around = lambda: "".join(rng.choice("abcd") for _ in range(150))
+    rows = [(k, around() + passage + around()) for k in range(60)]
+    rows += [(100, rows[0][1][100:]), (101, rows[1][1]), (102, None), (103, "ab" * 400)]
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 8)
+    split, dealt = [], repeats.decide_hot
+    monkeypatch.setattr(repeats, "decide_hot", lambda *a: split.append(dealt(*a)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted_rows(repeats.repeat_table(df)) == plain_repeats(rows)
+    assert len(split) == 1
+
+
 def test_repeats(spark):
     rng = random.Random(4)
 
