@@ -1,7 +1,7 @@
 """Personal data: base patterns with positions, and bootstrapped contextual extraction of what they don't know.
 
-Base spans are seeds. The words in front of them are lexical patterns; every identifier-like word that follows a
-pattern is an instance. Patterns and instances score each other in turns on that graph, and confident patterns add the
+Base spans are seeds, each as a whole. The words in front of them are lexical patterns; every identifier-like word, or
+run of words of digits, that follows a pattern is an instance. Patterns and instances score each other in turns on that graph, and confident patterns add the
 instances that the base patterns miss. All of it is made of DataFrame functions.
 """
 
@@ -26,13 +26,17 @@ PATTERNS = {
 #: A character without which a pattern can't match.
 NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: A word of digits, and runs of them with 7 to 19 digits: an identifier written in several words.
+NUMBER = r"[+(]{0,2}[0-9]++[)]?(?:[.-][0-9]++){0,2}+"
+RUN = rf"(?<!\S){NUMBER}(?: {NUMBER}(?![^\s,;:!?.)\]]))++"
+RUN_DIGITS = (7, 19)
 #: Words with a digit or an @, and what an instance of each kind looks like at least.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 LOOKS = {
     "email": r"^[^\s@]+@[^\s@]+$",
     "ip": r"^[0-9a-fA-F]+([.:][0-9a-fA-F]+){3,7}$",
-    "card": r"^[0-9][0-9-]{10,21}[0-9]$",
-    "phone": r"^[+(]?[0-9][0-9().-]{5,17}[0-9]$",
+    "card": r"^[0-9][0-9 -]{10,21}[0-9]$",
+    "phone": r"^[+(]{0,2}[0-9][0-9(). -]{5,17}[0-9]$",
 }
 CONTEXT_CHARS = 80
 ROUNDS = 3
@@ -86,29 +90,51 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """`row`, `doc_id`, `row_hash` (of the text), the base spans of each kind, and the candidates with the words in front of them."""
+    """`row`, `doc_id`, `row_hash` (of the text), the base spans of each kind, and the candidates with the words in front of them.
+
+    Candidates are the base spans, the runs of words of digits and the words with a digit or an @. A run that overlaps
+    a base span is none, nor is a word that overlaps a base span or lies in a run.
+    """
     text = F.coalesce("text", F.lit(""))
-    lead = lambda x: F.substring(text, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT_CHARS)))
-    candidates = F.transform(
-        matches(text, CANDIDATE),
-        lambda x: F.struct(
-            x["start"].alias("start"),
-            x["value"].alias("value"),
-            F.regexp_replace(F.lower(F.regexp_extract(lead(x), r"(\S+)\s+(\S+)\s+$", 0)), "[0-9]", "0").alias("lead"),
-        ),
-    )
+    lead = lambda at: F.substring(text, F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)))
+
+    def candidate(start, value, seed):
+        before = F.regexp_replace(F.lower(F.regexp_extract(lead(start), r"(\S+\s+\S+)\s+\S*$", 1)), "[0-9]", "0")
+        return F.struct(start.alias("start"), value.alias("value"), before.alias("lead"), F.lit(seed).alias("seed"))
+
+    def clear(x, *others):
+        free = [~F.exists(o, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])) for o in others]
+        return reduce(lambda a, b: a & b, free)
+
     has = F.regexp_like(text, F.lit("[0-9@]"))
-    columns = [base_spans(text, k).alias(k) for k in KINDS]
-    none = F.array().cast("array<struct<start:int,value:string,lead:string>>")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), *columns, F.when(has, candidates).otherwise(none).alias("candidates"))
-    return saved(rows.withColumn("row", F.monotonically_increasing_id()))
+    none = F.array().cast(SPANS)
+    runs = F.filter(matches(text, RUN), lambda x: F.length(F.regexp_replace(x["value"], "[^0-9]", "")).between(*RUN_DIGITS))
+    rows = docs.select(
+        "doc_id",
+        "text",
+        F.xxhash64("text").alias("row_hash"),
+        *[base_spans(text, k).alias(k) for k in KINDS],
+        F.when(F.regexp_like(text, F.lit("[0-9][)]? [+(]{0,2}[0-9]")), runs).otherwise(none).alias("runs"),
+        F.when(has, matches(text, CANDIDATE)).otherwise(none).alias("words"),
+    )
+    rows = rows.withColumn("runs", F.filter("runs", lambda x: clear(x, *KINDS)))
+    seeds = [
+        F.transform(k, lambda s: candidate(s["start"], F.substring(text, s["start"] + 1, s["end"] - s["start"]), True))
+        for k in KINDS
+    ]
+    runs = F.transform("runs", lambda x: candidate(x["start"], x["value"], False))
+    words = F.transform(
+        F.filter("words", lambda x: clear(x, *KINDS, "runs")), lambda x: candidate(x["start"], x["value"], False)
+    )
+    rows = rows.withColumn("candidates", F.concat(*seeds, runs, words))
+    return saved(rows.drop("text", "runs", "words").withColumn("row", F.monotonically_increasing_id()))
 
 
 def _instances(rows: DataFrame) -> DataFrame:
     """One row per candidate and pattern: `row`, `start`, `end`, `value`, `pattern`, and for each kind whether a base
-    span of it overlaps (a seed). Punctuation around the word doesn't belong to it."""
+    span of it overlaps (a seed). Punctuation around a word or run doesn't belong to it."""
     one = rows.select("row", *KINDS, F.explode("candidates").alias("c"))
-    core = F.regexp_extract("c.value", r"[0-9A-Za-z+(].*[0-9A-Za-z)]", 0)
+    core = F.when(F.col("c.seed"), F.col("c.value")).otherwise(F.regexp_extract("c.value", r"[0-9A-Za-z+(].*[0-9A-Za-z)]", 0))
     start = F.col("c.start") + F.greatest(F.instr(F.col("c.value"), core) - 1, F.lit(0))
     one = one.withColumn("value", core).withColumn("start", start).where(F.length("value") > 0)
     one = one.withColumn("end", F.col("start") + F.length("value"))

@@ -294,6 +294,22 @@ def test_contexts_add_what_the_patterns_miss(spark):
     assert clean[101] == ("room 12345678 is", 16) and clean[102] == (None, 7)
 
 
+def test_identifiers_of_several_words_are_seeds_and_added(spark):
+    def luhn(digits):
+        twice = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+        return sum(v - 9 if v > 9 else v for v in twice) % 10 == 0
+
+    cards = [c for c in (f"41111111111{k:05d}" for k in range(400)) if luhn(c)][:20]
+    groups = [" ".join(c[i : i + 4] for i in range(0, 16, 4)) for c in cards]
+    rows = [(k, f"please ring phone number: +1 (017) 555-77{k:02d} or charge credit card: {g} today") for k, g in enumerate(groups)]
+    rows += [(100, "please ring phone number: 030 123 4567, now"), (101, "please ring phone number: (017) 555-7713 now")]
+    rows += [(102, "or charge credit card: 4111 1111 1111 1112."), (103, "rooms in house 030 123 4567")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    spans = {r.doc_id: r.spans for r in personal_data_table(df).collect()}
+    assert spans[100] == "phone:26:38" and spans[101] == "phone:26:40"
+    assert spans[102] == "card:23:42" and spans[103] == ""
+
+
 # Urls
 
 
