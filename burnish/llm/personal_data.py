@@ -90,7 +90,8 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """`row`, `doc_id`, `row_hash` (of the text), the base spans of each kind, and the candidates with the words in front of them.
+    """`row`, `doc_id`, `row_hash` (of the text), the base spans of each kind, and the candidates with the two words in
+    front of them, or the one at the beginning of a text.
 
     Candidates are the base spans, the runs of words of digits and the words with a digit or an @. A run that overlaps
     a base span is none, nor is a word that overlaps a base span or lies in a run.
@@ -99,7 +100,7 @@ def scan(docs: DataFrame) -> DataFrame:
     lead = lambda at: F.substring(text, F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)))
 
     def candidate(start, value, seed):
-        before = F.regexp_replace(F.lower(F.regexp_extract(lead(start), r"(\S+\s+\S+)\s+\S*$", 1)), "[0-9]", "0")
+        before = F.regexp_replace(F.lower(F.regexp_extract(lead(start), r"((?:\S+\s+)?\S+)\s+\S*$", 1)), "[0-9]", "0")
         return F.struct(start.alias("start"), value.alias("value"), before.alias("lead"), F.lit(seed).alias("seed"))
 
     def clear(x, *others):

@@ -310,6 +310,13 @@ def test_identifiers_of_several_words_are_seeds_and_added(spark):
     assert spans[102] == "card:23:42" and spans[103] == ""
 
 
+def test_one_word_at_the_beginning_is_a_context(spark):
+    rows = [(k, f"Email: user{k}@example.com") for k in range(20)] + [(100, "Email: admin@localhost"), (101, "Room: a@b")]
+    found = personal_data_table(spark.createDataFrame(rows, SCHEMA))
+    spans = {r.doc_id: r.spans for r in found.collect()}
+    assert spans[100] == "email:7:22" and spans[101] == ""
+
+
 # Urls
 
 
