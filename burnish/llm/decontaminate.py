@@ -64,6 +64,9 @@ def contaminated(
     Documents are told apart by `doc_id` and the hash of their text, so rows of one id are judged each on its own text;
     null ids take part. Null or empty texts hold nothing, items without words are in nothing, repeated item ids are
     judged each on its own text, and empty tables give no row.
+
+    An item of fewer than `size` words is one shingle of all its words, and only a document of exactly these words holds
+    it: longer documents have no shingles of fewer than `size` words.
     """
     items = _shingled(
         benchmark.select("item_id", F.xxhash64("text").alias("item_hash"), "text").where("text is not null").distinct(), size
