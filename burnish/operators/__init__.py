@@ -5,6 +5,7 @@ from burnish.operators.dates import flag_sentinel, parse_dates
 from burnish.operators.dedup import dedup_keep_first, duplicate_count
 from burnish.operators.integrity import Reference, assert_unique, enrich, integrity_report, orphans
 from burnish.operators.profile import profile_column, profile_columns, top_values, value_counts
+from burnish.operators.ranking import ranked
 from burnish.operators.skew import fits_broadcast, hot_keys, join_without_hot_tasks
 from burnish.operators.standardize import (
     flag_missing,
@@ -28,5 +29,5 @@ __all__ = [
     "flag_invalid_amount", "flag_missing", "flag_missing_amount", "flag_sentinel", "flag_unmapped",
     "hot_keys", "integrity_report", "join_without_hot_tasks", "label_missing", "map_synonyms",
     "normalize_phone", "null_tokens", "orphans", "parse_amount", "parse_dates", "profile_column",
-    "profile_columns", "split_multivalue", "standardize_names", "top_values", "value_counts",
+    "profile_columns", "ranked", "split_multivalue", "standardize_names", "top_values", "value_counts",
 ]

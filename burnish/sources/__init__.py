@@ -2,6 +2,7 @@
 
 from burnish.sources.raw import malformed_count, read_raw
 from burnish.sources.reports import write_report
+from burnish.sources.scratch import scratch_dir, stored
 from burnish.sources.tables import load_table, save_table
 
-__all__ = ["load_table", "malformed_count", "read_raw", "save_table", "write_report"]
+__all__ = ["load_table", "malformed_count", "read_raw", "save_table", "scratch_dir", "stored", "write_report"]

@@ -1,21 +1,5 @@
 """Where the round-trip queries write."""
 
-from __future__ import annotations
+from burnish.sources.scratch import scratch_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below `spark.checkpoint.dir`, the shared folder every executor can reach.
-
-    Only a local session may go without that setting; it gets a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="burnish-")
-    return f"{base.rstrip('/')}/burnish-{uuid.uuid4().hex}"
+__all__ = ["scratch_dir"]
