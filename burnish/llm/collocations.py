@@ -115,8 +115,9 @@ class FMIndex:
         around = np.concatenate([[0], text, [0]])
         self.before, self.after = around[self.forward], around[self.backward + 2]
         # Occurrence lists of the transforms: rows by symbol, each list ascending.
-        self.before_rows = np.sort(self.before * len(text) + np.arange(len(text)))
-        self.after_rows = np.sort(self.after * len(text) + np.arange(len(text)))
+        row = np.arange(len(text))
+        self.before_rows = np.sort(self.before * len(text) + row)
+        self.after_rows = np.sort(self.after * len(text) + row)
 
     def _order(self, text: np.ndarray) -> np.ndarray:
         """Positions by the words that follow, by doubling the compared length."""
@@ -125,9 +126,11 @@ class FMIndex:
             more = min(known, self.depth - known)
             later = np.zeros(len(rank), np.int64)
             later[: len(rank) - more] = rank[more:] + 1
-            _, rank = np.unique(rank * (int(later.max(initial=0)) + 1) + later, return_inverse=True)
+            rank = rank * (int(later.max(initial=0)) + 1) + later
             known += more
-        return np.argsort(rank, kind="stable")
+            if known < self.depth:
+                rank = np.unique(rank, return_inverse=True)[1]
+        return np.argsort(rank)
 
     def words(self) -> Intervals:
         """All phrases of one word."""
@@ -169,8 +172,11 @@ def cut_to(text: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return text[(text > 0) | np.append(True, text[:-1] > 0)]
 
 
-def shard_phrases(text: np.ndarray, hashes: np.ndarray, depth: int, known: Filter | None) -> tuple[np.ndarray, ...]:
-    """Words (an array per place), count, left and right neighbours of the phrases of `depth` words in a shard.
+def shard_phrases(
+    text: np.ndarray, hashes: np.ndarray, depth: int, known: Filter | None, sides: bool = False
+) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Words (an array per place) and counts of the phrases of `depth` words in a shard; with `sides`, also how many
+    occurrences have a neighbour on the left, and on the right.
 
     `known` has the frequent phrases of `depth - 1` words: positions outside phrases that could be frequent are cut
     away first, and extensions whose parts it lacks are dropped.
@@ -180,20 +186,25 @@ def shard_phrases(text: np.ndarray, hashes: np.ndarray, depth: int, known: Filte
         return [hashes[text[at + k]] for k in range(n)]
 
     n = len(text)
-    if known is not None:
+    if known is not None and depth == 2:
+        text = cut_to(text, known.has(phrase_hash([hashes]))[text])
+    elif known is not None:
         short = depth - 1
-        starts = np.flatnonzero(np.convolve(text > 0, np.ones(short, int), "valid") == short) if n >= short else np.zeros(0, int)
-        starts = starts[known.has(phrase_hash(parts(starts, short)))] if len(starts) else starts
+        full = text > 0
+        for k in range(1, short):
+            full[: n - k] &= text[k:] > 0
+        full[n - short + 1 :] = False
+        starts = np.flatnonzero(full)
         here = np.zeros(n + 1, dtype=bool)
-        here[starts] = True
+        here[starts[known.has(phrase_hash(parts(starts, short)))]] = True
         here = here[:-1] & here[1:]
-        keep = np.zeros(n, dtype=bool)
-        for k in range(depth):
-            keep[k:] |= here[: n - k] if k else here
+        keep = here.copy()
+        for k in range(1, depth):
+            keep[k:] |= here[: n - k]
         text = cut_to(text, keep)
     empty = np.zeros(0, np.int64)
     if not text.any():
-        return [empty] * depth, empty, empty, empty
+        return [empty] * depth, [empty] * (3 if sides else 1)
     # Numbers without gaps keep the occurrence lists small.
     present, text_small = np.unique(np.append(0, text), return_inverse=True)
     index = FMIndex(text_small[1:], depth)
@@ -205,42 +216,46 @@ def shard_phrases(text: np.ndarray, hashes: np.ndarray, depth: int, known: Filte
         ok = known.has(phrase_hash(parts(found.at, depth - 1))) & known.has(phrase_hash(parts(found.at + 1, depth - 1)))
         found = found.take(ok)
     words = [present[text[found.at + k]] for k in range(depth)]
-    return words, found.size, index.neighbours(found, False), index.neighbours(found, True)
+    return words, [found.size, *(index.neighbours(found, right) for right in (False, True) if sides)]
 
 
-SHARD_SCHEMA = "lang string, phrase string, count long, left long, right long"
+BATCH_ROWS = 1 << 17
 
 
-def phrase_counts(docs: DataFrame, depth: int, known: Filter | None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """`lang`, `phrase`, `count`, `left`, `right` of the phrases of `depth` words, summed over all shards.
+def phrase_counts(
+    docs: DataFrame, depth: int, known: Filter | None, shard_bytes: int = SHARD_BYTES, sides: bool = False
+) -> DataFrame:
+    """`lang`, `phrase`, `count` of the phrases of `depth` words, summed over all shards.
 
-    `left` and `right` are the occurrences that have a word before and after them within their piece. For one word, the
-    row of the empty phrase has the number of all words. `docs` has `lang` (null: `und`) and `text` (null: empty).
+    For one word, the row of the empty phrase has the number of all words. With `sides`, `left` and `right` are the
+    occurrences that have a word before and after them within their piece. `docs` has `lang` (null: `und`) and `text`
+    (null: empty).
     """
     shared = docs.sparkSession.sparkContext.broadcast(known.bits if known else None)
+    numbers = ["count", "left", "right"] if sides else ["count"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if shared.value is None else Filter(shared.value)
         held, size = {}, 0
-        schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), *((c, pa.int64()) for c in ("count", "left", "right"))])
 
         def closed():
-            for lang, texts in held.items():
+            while held:
+                lang, texts = held.popitem()
                 text, words = coded_words(texts)
-                hashes = word_hashes(words, lang) if bits else np.zeros(0, _U)
+                del texts
                 if depth == 1:
                     count = np.bincount(text, minlength=len(words) + 1)[1:]
                     column = pa.concat_arrays([pa.array([b""], pa.binary()), words])
-                    numbers = [np.append(count.sum(), count)] + [np.zeros(len(count) + 1, np.int64)] * 2
+                    values = [np.append(count.sum(), count)] + [np.zeros(len(count) + 1, np.int64)] * (len(numbers) - 1)
                 else:
-                    parts, *numbers = shard_phrases(text, hashes, depth, bits)
-                    column = pc.binary_join_element_wise(*(words.take(pa.array(p - 1)) for p in parts), b" ")
-                if len(column):
-                    yield pa.record_batch(
-                        [pa.array([lang] * len(column)), column.cast(pa.string()), *(pa.array(x, pa.int64()) for x in numbers)],
-                        schema=schema,
-                    )
-            held.clear()
+                    hashes = word_hashes(words, lang)
+                    places, values = shard_phrases(text, hashes, depth, bits, sides)
+                    del text, hashes
+                    column = pc.binary_join_element_wise(*(words.take(pa.array(p - 1)) for p in places), b" ")
+                for k in range(0, len(column), BATCH_ROWS):
+                    part = column[k : k + BATCH_ROWS].cast(pa.string())
+                    parts = [pa.array(v[k : k + BATCH_ROWS], pa.int64()) for v in values]
+                    yield pa.record_batch([pa.repeat(lang, len(part)), part, *parts], ["lang", "phrase", *numbers])
 
         for part in slices(batches, limit=2 << 20):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist()):
@@ -252,8 +267,9 @@ def phrase_counts(docs: DataFrame, depth: int, known: Filter | None, shard_bytes
                 size = 0
         yield from closed()
 
-    shards = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text").mapInArrow(counted, SHARD_SCHEMA)
-    return shards.groupBy("lang", "phrase").agg(*(F.sum(c).alias(c) for c in ("count", "left", "right")))
+    schema = "lang string, phrase string, " + ", ".join(f"{c} long" for c in numbers)
+    shards = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text").mapInArrow(counted, schema)
+    return shards.groupBy("lang", "phrase").agg(*(F.sum(c).alias(c) for c in numbers))
 
 
 def frequent_filter(frequent: DataFrame, rows: int) -> Filter:
@@ -293,13 +309,16 @@ def frequent_filter(frequent: DataFrame, rows: int) -> Filter:
     return Filter(out)
 
 
-def frequent_phrases(docs: DataFrame, longest: int = 4, minimum: int = 30) -> tuple[DataFrame, DataFrame]:
-    """`lang`, `phrase`, `depth`, `count`, `left`, `right` of all phrases of 1 to `longest` words that occur `minimum`
-    times in their language, and `lang`, `n`, the number of words of each language.
+def frequent_phrases(
+    docs: DataFrame, longest: int = 4, minimum: int = 30, sides: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """`lang`, `phrase`, `depth`, `count` (and `left`, `right`, of phrases of two words and more, with `sides`) of all
+    phrases of 1 to `longest` words that occur `minimum` times in their language, and `lang`, `n`, the number of words
+    of each language.
 
     Overlapping occurrences count. Texts without words and empty tables give no rows.
     """
-    first = saved(phrase_counts(docs, 1, None).where((F.col("count") >= minimum) | (F.col("phrase") == "")))
+    first = saved(phrase_counts(docs, 1, None, sides=sides).where((F.col("count") >= minimum) | (F.col("phrase") == "")))
     totals = first.where("phrase = ''").select("lang", F.col("count").alias("n"))
     level = first.where("phrase <> ''")
     out = level.withColumn("depth", F.lit(1))
@@ -307,7 +326,7 @@ def frequent_phrases(docs: DataFrame, longest: int = 4, minimum: int = 30) -> tu
         rows = level.count()
         if not rows:
             break
-        counts = phrase_counts(docs, depth, frequent_filter(level, rows))
+        counts = phrase_counts(docs, depth, frequent_filter(level, rows), sides=sides)
         level = saved(counts.where(F.col("count") >= minimum))
         out = out.unionByName(level.withColumn("depth", F.lit(depth)))
     return out, totals

@@ -5,13 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from burnish.functions.text import named
 
 # Text bytes that a task turns into arrays at once.
 SLICE_BYTES = 2 << 20
@@ -77,6 +80,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(a, b - a)
 
 
+def map_rows(
+    df: DataFrame, kept: list[str], mapped: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: str
+) -> DataFrame:
+    """`mapInArrow` over the columns `kept`, which become the first ones of the result, and those of the DDL `added`.
+
+    Batches go by the numbers of their columns (`c0`, `c1`, ...), as mapInArrow knows no names with dots.
+    """
+    fields = StructType.fromDDL(added).fields
+    rows = df.select(*(named(c).alias(f"c{i}") for i, c in enumerate(kept)))
+    out = rows.mapInArrow(mapped, StructType([*rows.schema.fields, *fields]))
+    return out.toDF(*kept, *(f.name for f in fields))
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes; a null text is empty."""
     at = batch.schema.get_field_index(column)

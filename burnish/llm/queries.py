@@ -13,6 +13,8 @@ from burnish.llm.jaccard_join import jaccard_components
 from burnish.llm.language_id import language_table
 from burnish.llm.language_model import model_table
 from burnish.llm.nearest import nearest
+from burnish.llm.packing import packing_table
+from burnish.llm.periodic_runs import RUNS_SQL, runs_table
 from burnish.llm.personal_data import personal_data_table
 from burnish.llm.piece_encoding import piece_table
 from burnish.llm.repeats import repeat_table
@@ -95,6 +97,19 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_table(_table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_periodic_runs"] = RUNS_SQL
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing_table(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
