@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from burnish.functions.text import named
+from burnish.sources.scratch import scratch_dir, stored
 
 # Text bytes that a task turns into arrays at once.
 SLICE_BYTES = 2 << 20
@@ -30,20 +33,13 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below `spark.checkpoint.dir`. Only a local session may leave that setting out."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="burnish-llm-")
-    return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder that the driver and all executors share, see `scratch_dir`."""
+    return scratch_dir(spark)
 
 
 def saved(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored(df)
 
 
 def local_path(uri: str) -> str:
@@ -62,13 +58,44 @@ def workers_find_this(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, paths))
 
 
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, build: Callable[[], Any]) -> Any:
+    """One model a Python worker, built when a task first asks for it. Another one takes its place.
+
+    Workers serve many tasks; what one operator keeps would stay beside the next one's.
+    """
+    if key not in _HELD:
+        release()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release(but: Any = None) -> None:
+    """Drop the model of an earlier task, and give its memory back to the system where that can be asked for."""
+    others = [k for k in _HELD if k != but]
+    if others:
+        for k in others:
+            del _HELD[k]
+        gc.collect()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the text of an id, modulo `divisor`."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches by the bytes of `column`, so that a task's memory follows the limit or one longest text."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, model: Any = None
+) -> Iterator[pa.RecordBatch]:
+    """Cut batches by the bytes of `column`, so that a task's memory follows the limit or one longest text.
+
+    Every task starts here: it drops the models of other ones, all but that `held` under the key `model`.
+    """
+    release(model)
     for batch in batches:
         if not batch.num_rows:
             continue

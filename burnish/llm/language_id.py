@@ -16,28 +16,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnish.llm.common import remainder, slices
+from burnish.llm.common import held, map_rows, remainder, slices
 
 SAMPLE_CHARS = 60_000  # labelled characters that are learned from for each language
 SAMPLE_ROWS = 120  # labelled texts of a language that reach the driver at the most
 USUAL_CHARS = 4_000  # texts up to this length come first into the sample
-SYMBOLS = 64  # the most frequent letters of the samples have symbols of their own; the rest share one
-SEGMENT = 256  # phrases end at multiples of this many characters
+SEGMENT = 256  # phrases end at multiples of this many bytes
 LANES = 1 << 18  # segments that one step of the parse moves on together
 UNDECIDED = "und"
 NO_LETTERS = re.compile(r"[\W\d_]+")
+BLANK = 0x20
 
 
 def sample_texts(docs: DataFrame, chars: int = SAMPLE_CHARS, rows: int = SAMPLE_ROWS) -> dict[str, str]:
     """For each language: distinct labelled texts in the order of a hash of their ids, until `chars` are reached.
 
-    This bounded sample fits the classifier; a task hands on at most `rows` texts of a language.
+    This bounded sample fits the classifier; a task hands on at most `rows` texts of a language. Of a text that is
+    longer than the whole sample may be, four times `chars` reach the driver, and of all texts of a language together
+    not much more.
     """
+    limit = 4 * chars
     labelled = docs.where("lang is not null and text is not null").select(
-        "lang", (F.length("text") > USUAL_CHARS).alias("long"), F.xxhash64("doc_id").alias("h"), "text"
+        "lang", (F.length("text") > USUAL_CHARS).alias("long"), F.xxhash64("doc_id").alias("h"), F.left("text", F.lit(limit)).alias("text")
     )
     order = Window.partitionBy("lang").orderBy("long", "h", "text")
     first = labelled.withColumn("at", F.row_number().over(order)).where(F.col("at") <= rows)
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = first.withColumn("before", before).where(F.col("before") < limit)
     out: dict[str, str] = {}
     seen = set()
     for r in sorted(first.collect(), key=lambda r: (r.lang, r.at)):
@@ -81,35 +86,51 @@ def suffix_automaton(text: list[int], symbols: int) -> np.ndarray:
 
 
 class CrossParser:
-    """Automata of all languages, and the number of phrases of texts."""
+    """Automata of all languages over the UTF-8 bytes of lower-case letters, and the number of phrases of texts.
+
+    Bytes make letters of any script symbols of one small alphabet. Each automaton knows the bytes of its own sample; a
+    byte that it lacks is a phrase of its own.
+    """
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
-        seen, count = np.unique(np.array([ord(c) for x in samples.values() for c in x if c != " "]), return_counts=True)
-        common = seen[np.argsort(-count, kind="stable")][: SYMBOLS - 2]
-        # Symbol 0 is a run of anything but letters, the last one any other letter. Upper case reads as lower case.
-        letter = np.array([chr(c).isalpha() for c in range(0x110000)])
-        self.symbol = np.where(letter, SYMBOLS - 1, 0).astype(np.uint8)
-        self.symbol[common] = np.arange(1, len(common) + 1)
-        for c in np.flatnonzero(letter[:0x2000]).tolist():
-            low = chr(c).lower()
-            if len(low) == 1:
-                self.symbol[c] = self.symbol[ord(low)]
-        self.tables = []
+        # Anything but letters reads as a blank, upper case as lower case.
+        self.lower = np.full(0x110000, BLANK, np.uint32)
+        for c in range(0x110000):
+            if chr(c).isalpha():
+                low = chr(c).lower()
+                self.lower[c] = ord(low) if len(low) == 1 else c
         # A phrase costs the bits of a place in the sample.
         self.bits = np.log2([max(2, len(samples[x])) for x in self.languages])
+        self.symbols, self.tables = [], []
         for lang in self.languages:
-            table = suffix_automaton([int(self.symbol[ord(c)]) for c in samples[lang]], SYMBOLS)
-            table[:, SYMBOLS - 1] = -1  # a character of no language's own matches nothing
+            text = np.frombuffer(samples[lang].encode("utf-8", "replace"), np.uint8)
+            seen = np.unique(text)
+            symbol = np.full(256, len(seen), np.uint8)
+            symbol[seen] = np.arange(len(seen))
+            table = suffix_automaton(symbol[text].tolist(), len(seen) + 1)
+            # One more state that no byte leads on from: after a byte that the sample lacks.
+            table = np.vstack([table, np.full(len(seen) + 1, -1, np.int32)])
+            self.symbols.append(symbol)
             self.tables.append(table)
 
-    def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases (text x language); `codes` holds the code points of all texts in a row."""
-        text = self.symbol[codes]
-        doc = np.repeat(np.arange(len(sizes)), sizes)
+    def letters(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 bytes of the letters of all texts in a row, runs of anything else as one blank, and bytes by text."""
+        text, doc = self.lower[codes], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         keep = np.ones(len(text), dtype=bool)
-        keep[1:] = (text[1:] > 0) | (text[:-1] > 0) | (doc[1:] != doc[:-1])
-        text, sizes = text[keep], np.bincount(doc[keep], minlength=len(sizes))
+        keep[1:] = (text[1:] != BLANK) | (text[:-1] != BLANK) | (doc[1:] != doc[:-1])
+        text, doc = text[keep], doc[keep]
+        width = 1 + (text >= 0x80) + (text >= 0x800) + (text >= 0x10000)
+        raw = text.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        return np.frombuffer(raw, np.uint8), np.bincount(doc, width, len(sizes)).astype(np.int64)
+
+    def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Phrases (text x language); `codes` holds the code points of all texts in a row.
+
+        A phrase is the longest match from its first byte on; it ends at multiples of SEGMENT bytes, too, so that a long
+        text is parsed in many places at once. That adds at most one phrase a segment to every language alike.
+        """
+        text, sizes = self.letters(codes, sizes)
         out = np.zeros((len(sizes), len(self.languages)), np.int64)
         parts = (sizes + SEGMENT - 1) // SEGMENT
         doc = np.repeat(np.arange(len(sizes)), parts)
@@ -121,14 +142,16 @@ class CrossParser:
         for lo in range(0, len(doc), LANES):
             d, s, n = doc[lo : lo + LANES], start[lo : lo + LANES], length[lo : lo + LANES]
             live = np.searchsorted(-n, -np.arange(SEGMENT), "left")  # lanes longer than the step
-            for k, table in enumerate(self.tables):
-                flat, root = table.ravel(), np.maximum(table[0], 0)
+            for k, (symbol, table) in enumerate(zip(self.symbols, self.tables)):
+                flat, width = table.ravel(), table.shape[1]
+                root = np.where(table[0] < 0, len(table) - 1, table[0])
+                own = symbol[text]
                 state = np.zeros(len(d), np.int32)
                 count = np.ones(len(d), np.int32)
                 for step in range(int(n[0]) if len(n) else 0):
                     m = live[step]
-                    c = text[s[:m] + step]
-                    to = flat[state[:m] * SYMBOLS + c]
+                    c = own[s[:m] + step]
+                    to = flat[state[:m] * width + c]
                     lost = np.flatnonzero(to < 0)
                     if len(lost):
                         if step:
@@ -139,18 +162,6 @@ class CrossParser:
         return out
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
-def parser(samples: dict[str, str]) -> CrossParser:
-    """One parser a Python worker, made from the samples (at most SAMPLE_CHARS a language)."""
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(samples)
-    return _PARSERS[key]
-
-
 def identify_language(
     docs: DataFrame, samples: dict[str, str], text: str = "text", lang: str = "lang_pred", score: str = "score"
 ) -> DataFrame:
@@ -158,16 +169,16 @@ def identify_language(
     columns of these names.
 
     The score is the share of bits that the best language needs less than the second best; 1 with one language alone.
-    Only letters and the places between their runs count. Texts that are null or have no letter, and all texts if nothing was learned, get `und` and 0. Ties go to the
-    alphabetically first language. Texts are parsed whole; rows and all other columns stay as they are.
+    Only letters and the places between their runs count. Texts that are null or have no letter, and all texts if
+    nothing was learned, get `und` and 0. Ties go to the alphabetically first language. Texts are parsed whole; rows and all other columns stay as they are.
     """
     columns = [c for c in docs.columns if c not in (lang, score)]
     at = columns.index(text)
-    schema = docs.select(*columns).schema.add(lang, "string").add(score, "double")
+    key = ("languages", hash(tuple(sorted(samples.items()))))
 
     def identified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = parser(samples) if samples else None
-        for part in slices(batches, text, limit=8 << 20):
+        model = held(key, lambda: CrossParser(samples)) if samples else None
+        for part in slices(batches, f"c{at}", model=key):
             column = pc.fill_null(part.column(at).cast(pa.large_string()), "")
             letters = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False)
             name = np.full(part.num_rows, UNDECIDED, dtype=object)
@@ -183,11 +194,11 @@ def identify_language(
                     value[letters] = 1.0
                 else:
                     value[letters] = ((ranked[:, 1] - ranked[:, 0]) / np.maximum(ranked[:, 1], 1e-9))[letters]
-            yield pa.record_batch(
-                [*part.columns, pa.array(name, pa.string()), pa.array(value, pa.float64())], [*columns, lang, score]
-            )
+            found = [pa.array(name, pa.string()), pa.array(value, pa.float64())]
+            yield pa.record_batch([*part.columns, *found], [*part.schema.names, "lang", "score"])
 
-    return docs.select(*columns).mapInArrow(identified, schema)
+    known = map_rows(docs, columns, identified, "lang string, score double")
+    return known.toDF(*columns, lang, score)
 
 
 def language_table(docs: DataFrame) -> DataFrame:

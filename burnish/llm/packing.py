@@ -126,11 +126,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
 
 
 def thresholds(capacity: int) -> list[int]:
-    """Lengths above which a round's leftovers open new sequences: a half, a third, a quarter, a sixth, ... then 0."""
-    steps = [capacity // 2, capacity // 3]
-    while steps[-2] // 2 > 0 and len(steps) < 10:
-        steps.append(steps[-2] // 2)
-    return [*(s for s in steps if s), 0]
+    """Lengths above which a round's leftovers open new sequences: those of which one, two, three, up to seven fit, then
+    all."""
+    return [*(capacity // k for k in (2, 3, 4, 8) if capacity // k), 0]
 
 
 def sweep(items: dict[int, int], gaps: dict[int, int], taken: dict[int, int]) -> list[tuple[int, ...]]:
@@ -210,18 +208,20 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     steps = thresholds(capacity)
 
     def table(rows: list[tuple[int, ...]], columns: list[str]) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in columns)))
+        return F.broadcast(spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows)], columns)))
 
     while left := {s: n - taken[s] for s, n in counts.items() if n > taken[s]}:
+        while len(steps) > 1 and steps[0] >= max(left):
+            steps.pop(0)
         least = steps.pop(0) if len(steps) > 1 else 0
         waiting = rest.join(table(sorted(taken.items()), ["length", "placed"]), "length")
         waiting = waiting.where(F.col("item") >= F.col("placed")).drop("placed")
         plan, new_gaps = [], []
         if gaps is not None:
-            by_gap = ranked(gaps.where(F.col("gap") >= min(left)), ["gap"], ["sequence_id"], "place")
-            by_gap = saved(by_gap.withColumn("place", F.col("place") - 1))
-            plan = sweep(left, counts_by(by_gap, "gap"), taken)
+            gaps = gaps.where(F.col("gap") >= min(left))
+            plan = sweep(left, counts_by(gaps, "gap"), taken)
         if plan:
+            by_gap = ranked(gaps, ["gap"], ["sequence_id"], "place").withColumn("place", F.col("place") - 1)
             moves = table(plan, SWEEP_COLUMNS)
             at, places = F.col("item") - F.col("item_from"), F.col("place") - F.col("gap_from")
             found = waiting.join(moves, "length").where("item >= item_from and item < item_to").select(

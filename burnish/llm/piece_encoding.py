@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -19,12 +20,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
-from burnish.llm.common import slices
+from burnish.llm.common import held, map_rows, slices
 
 BLANK = "▁"
-KNOWN_UNITS = 400_000  # units whose ids a task keeps; then it starts over
+KNOWN_BYTES = 48 << 20  # units and their ids that a task keeps; then it starts over
 LONG_UNIT = 48  # code points; longer units are relaxed with a heap
 UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]+|\n|{BLANK}+")
 NONE = np.iinfo(np.int32).max
@@ -53,6 +53,12 @@ class Pieces:
         self.ids, self.rank = np.array(ids, np.int32)[order], rank.astype(np.int32)[order]
         self.sorted = np.array([self.text[i] for i in self.ids])
         self.longest = max(map(len, self.sorted))
+        # What each id stands for, as bytes of UTF-8 one after the other.
+        as_bytes = [b"" if i in self.skipped else x.replace(BLANK, " ").encode("utf-8", "replace") for i, x in enumerate(self.text)]
+        self.flat = np.frombuffer(b"".join(as_bytes), np.uint8)
+        self.first = np.cumsum([0, *map(len, as_bytes)])
+        self.is_byte = np.zeros(len(self.text), dtype=bool)
+        self.is_byte[list(self.byte_of)] = True
 
 
 def edges(pieces: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +86,21 @@ def edges(pieces: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[by_place], piece[by_place]
 
 
+def joined_spans(flat: np.ndarray, first: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The spans flat[first[k]:first[k + 1]] for all k in `which`, one after the other."""
+    count = first[which + 1] - first[which]
+    stop = np.cumsum(count)
+    return flat[np.repeat(first[which] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+
+
 class UnitEncoder:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.known: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.first, self.bytes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
 
     def units(self, text: str) -> list[str]:
         return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
@@ -110,17 +127,22 @@ class UnitEncoder:
         for f, s in zip(first[size > LONG_UNIT].tolist(), size[size > LONG_UNIT].tolist()):
             self._relax_long(cover, follow, f, s)
         jump = follow.tolist()
+        out, stop = array("i"), []
         held = cover[np.arange(n), np.minimum(follow - np.arange(n), p.longest)].tolist()
         ids = p.ids.tolist()
         for word, f, s in zip(new, first.tolist(), size.tolist()):
-            out, at = [], f
+            at = f
             while at < f + s:
                 if held[at] >= 0:
                     out.append(ids[held[at]])
                 else:  # no piece: a single code point, as bytes
-                    out += [p.bytes[b] for b in word[at - f].encode("utf-8", "replace")]
+                    out.extend(p.bytes[b] for b in word[at - f].encode("utf-8", "replace"))
                 at = jump[at]
-            self.known[word] = out
+            stop.append(len(out))
+        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+        self.ids.append(np.array(out, np.int32))
+        self.first.append(self.first[-1][-1] + np.array(stop, np.int64))
+        self.bytes += 2 * sum(map(len, new)) + 150 * len(new) + 4 * len(out)
 
     def _pair(self, cover, a, c):
         """Rank of the piece from a to c, or NONE."""
@@ -178,13 +200,32 @@ class UnitEncoder:
             if a > first:
                 push(before[a])
 
-    def __call__(self, batch: list[str]) -> list[list[int]]:
-        if len(self.known) > KNOWN_UNITS:
-            self.known = {}
+    def __call__(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where those of each text begin; the last entry is their number."""
+        if self.bytes > KNOWN_BYTES:
+            self._forget()
         split = [self.units(x) for x in batch]
-        self.learn([*set(chain.from_iterable(split)).difference(self.known)])
-        get = self.known.__getitem__
-        return [[*chain.from_iterable(map(get, part))] for part in split]
+        self.learn([*set(chain.from_iterable(split)).difference(self.place)])
+        flat, first = np.concatenate(self.ids), np.concatenate(self.first)
+        self.ids, self.first = [flat], [first]
+        many = np.array([*map(len, split)], np.int64)
+        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(many.sum()))
+        return joined_spans(flat, first, place), np.append(0, np.cumsum(first[place + 1] - first[place]))[np.append(0, np.cumsum(many))]
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of ids as `__call__` returns them."""
+        p = self.pieces
+        raw = joined_spans(p.flat, p.first, ids).tobytes()
+        edge = np.append(0, np.cumsum(p.first[ids + 1] - p.first[ids]))[bounds].tolist()
+        odd = np.add.reduceat(np.append(p.is_byte[ids], False), bounds[:-1]) * (np.diff(bounds) > 0) if len(bounds) > 1 else []
+        out = []
+        for k, by_hand in enumerate(odd):
+            if by_hand:
+                out.append(self.decode(ids[bounds[k] : bounds[k + 1]].tolist()))
+            else:
+                text = raw[edge[k] : edge[k + 1]]
+                out.append((text[1:] if text.startswith(b" ") else text).decode("utf-8", "replace"))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes that follow each other are read as UTF-8, the blank put in front is taken away."""
@@ -204,14 +245,9 @@ class UnitEncoder:
         return text[1:] if text.startswith(" ") else text
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """One encoder a Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return held(("pieces", path), lambda: UnitEncoder(path))
 
 
 def encode_pieces(docs: DataFrame, path: str, text: str = "text", out: str = "piece_ids") -> DataFrame:
@@ -222,18 +258,15 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", out: str = "pi
     """
     columns = [c for c in docs.columns if c != out]
     at = columns.index(text)
-    schema = docs.select(*columns).schema.add(out, ArrayType(IntegerType()))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for part in slices(batches, text):
-            ids = encode([x or "" for x in part.column(at).to_pylist()])
-            stop = np.cumsum([0, *map(len, ids)])
-            flat = np.fromiter(chain.from_iterable(ids), np.int32, int(stop[-1]))
-            lists = pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(flat))
-            yield pa.record_batch([*part.columns, lists], [*columns, out])
+        for part in slices(batches, f"c{at}", model=("pieces", path)):
+            ids, bounds = encode([x or "" for x in part.column(at).to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+            yield pa.record_batch([*part.columns, lists], [*part.schema.names, "ids"])
 
-    return docs.select(*columns).mapInArrow(encoded, schema)
+    return map_rows(docs, columns, encoded, "ids array<int>").toDF(*columns, out)
 
 
 def decode_pieces(df: DataFrame, path: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
@@ -241,26 +274,34 @@ def decode_pieces(df: DataFrame, path: str, ids: str = "piece_ids", out: str = "
 
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:
-        decode = encoder(path).decode
-        return pd.Series([None if x is None else decode(x.tolist()) for x in column], dtype=object)
+        encode, known = encoder(path), column.notna()
+        ids = [np.asarray(x, np.int32) for x in column[known]]
+        bounds = np.cumsum([0, *map(len, ids)])
+        out = pd.Series([None] * len(column), index=column.index, dtype=object)
+        out[known] = encode.decode_all(np.concatenate([np.zeros(0, np.int32), *ids]), bounds)
+        return out
 
     return df.withColumn(out, decoded(F.col(ids)))
 
 
 def piece_table(docs: DataFrame, path: str) -> DataFrame:
     """`doc_id`, `n_pieces`, `ids_crc32` (of the ids as little-endian 32-bit integers), `decoded_crc32` (of the decoded
-    text in UTF-8), `round_trip` (the decoded text is the text, null taken as empty) of every document."""
+    text in UTF-8), `round_trip` (the decoded text is the text, null taken as empty) of every document.
+
+    Repeated rows have a row each; an empty table gives none; other columns are left aside.
+    """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for part in slices(batches):
+        for part in slices(batches, model=("pieces", path)):
             text = [x or "" for x in part.column(1).to_pylist()]
-            ids = encode(text)
-            back = [*map(encode.decode, ids)]
+            ids, bounds = encode(text)
+            back = encode.decode_all(ids, bounds)
+            raw, edge = memoryview(ids.astype("<i4").tobytes()), (4 * bounds).tolist()
             columns = [
                 part.column(0).cast(pa.int64()),
-                pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([zlib.crc32(np.array(x, "<i4").tobytes()) for x in ids], pa.int64()),
+                pa.array(np.diff(bounds), pa.int64()),
+                pa.array([zlib.crc32(raw[a:b]) for a, b in zip(edge, edge[1:])], pa.int64()),
                 pa.array([zlib.crc32(x.encode()) for x in back], pa.int64()),
                 pa.array([a == b for a, b in zip(text, back)], pa.bool_()),
             ]

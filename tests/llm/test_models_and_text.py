@@ -13,8 +13,9 @@ import pyarrow as pa
 import pytest
 
 from burnish.llm import queries
-from burnish.llm.common import shared_dir, words
-from burnish.llm.language_id import language_table, suffix_automaton
+from burnish.llm import common
+from burnish.llm.common import held, shared_dir, words
+from burnish.llm.language_id import NO_LETTERS, SEGMENT, CrossParser, language_table, sample_texts, suffix_automaton
 from burnish.llm.language_model import model_table
 from burnish.llm.nearest import nearest
 from burnish.llm.personal_data import KINDS, personal_data_table, redacted
@@ -104,9 +105,29 @@ def test_pieces_are_those_of_the_library():
     path = tokenizer_file("piece_bpe_32k.model")
     model, own = SentencePieceProcessor(model_file=path), UnitEncoder(path)
     texts = nasty_texts(2000, ["    ", "<s>", "<0x0A>", "<unk>", "\0", "the", "ing"]) + ["a" * 300, "the" * 100, " " * 90, ""]
-    for text, ids in zip(texts, own(texts)):
-        assert ids == model.encode(text)
-        assert own.decode(ids) == model.decode(ids)
+    ids, bounds = own(texts)
+    each = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert each == [model.encode(text) for text in texts]
+    assert own.decode_all(ids, bounds) == [own.decode(x) for x in each] == [model.decode(x) for x in each]
+
+
+def test_known_units_are_bounded(monkeypatch):
+    monkeypatch.setattr("burnish.llm.piece_encoding.KNOWN_BYTES", 2000)
+    own = UnitEncoder(tokenizer_file("piece_bpe_32k.model"))
+    before = [own(["one two three"])[0].tolist()]
+    for k in range(20):
+        own([f"other words {k * 7919}"])
+        assert len(own.place) < 40
+    assert own(["one two three"])[0].tolist() == before[0]
+
+
+def test_a_worker_holds_one_model():
+    built = []
+    for key in ("a", "a", "b", "a"):
+        assert held(key, lambda: built.append(key) or key) == key
+    assert built == ["a", "b", "a"] and list(common._HELD) == ["a"]
+    assert list(common.slices(iter([]), model="a")) == [] and list(common._HELD) == ["a"]
+    assert list(common.slices(iter([]))) == [] and not common._HELD
 
 
 def test_piece_query_round_trip(spark):
@@ -139,6 +160,58 @@ def test_suffix_automaton_accepts_exactly_the_substrings():
         assert (state >= 0) == (word in inside)
 
 
+def plain_phrases(text, sample):
+    """Longest matches from byte to byte; a byte that the sample lacks is a phrase, and phrases end with a segment."""
+    count = 0
+    for k in range(0, len(text), SEGMENT):
+        part, at = text[k : k + SEGMENT], 0
+        while at < len(part):
+            end = at + 1
+            while end < len(part) and part[at : end + 1] in sample:
+                end += 1
+            count, at = count + 1, end
+    return count
+
+
+def test_phrases_against_brute_force():
+    rng = random.Random(6)
+    words = ["the", "Über", "naïve", "漢字", "日本語", "привет", "ab", "ΣΑΣ", "😀", "x1y"]
+    samples = {k: " ".join(rng.choice(v).lower() for _ in range(300)) for k, v in {"a": words[:3] + ["ab"], "b": words[3:5], "c": words[5:]}.items()}
+    samples = {k: " ".join(NO_LETTERS.sub(" ", v).split()) for k, v in samples.items()}
+    parser = CrossParser(samples)
+    texts = ["", "?!", "漢", *("".join(rng.choice([*words, " ", "-", "q"]) for _ in range(rng.randint(1, 200))) for _ in range(60))]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    sizes = np.array([len(t) for t in texts])
+    got = parser.phrases(codes, sizes)
+    raw, count = parser.letters(codes, sizes)
+    stop = np.cumsum(count)
+    for k, t in enumerate(texts):
+        own = raw[stop[k] - count[k] : stop[k]].tobytes()
+        assert own.decode() == re.sub(r"[\W\d_]+", " ", "".join(c.lower() if len(c.lower()) == 1 else c for c in t))
+        assert got[k].tolist() == [plain_phrases(own, samples[lang].encode()) for lang in parser.languages]
+
+
+def test_scripts_of_many_letters(spark):
+    rng = random.Random(3)
+    blocks = {"zh": range(0x4E00, 0x4E00 + 700), "ko": range(0xAC00, 0xAC00 + 700)}
+    rows = [(k, "".join(chr(rng.choice(blocks[lang])) for _ in range(12)), lang) for k, lang in enumerate(["zh", "ko"] * 1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held_out = [r for r in language_table(df).collect() if r.held_out]
+    assert len(held_out) > 400
+    assert sum(r.lang_pred == rows[r.doc_id][2] and r.score > 0 for r in held_out) >= 0.97 * len(held_out)
+
+
+def test_samples_are_cut_before_they_are_fetched(spark, monkeypatch):
+    rows = [(k, "ab " * 50_000, "en") for k in range(40)] + [(k, "cd", "fr") for k in range(3)]
+    fetched = []
+    frame = type(spark.range(1))
+    real = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: fetched.extend(out := real(self)) or out)
+    samples = sample_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=1000)
+    assert sum(len(r.text) for r in fetched) <= 2 * 4 * 1000
+    assert {k: len(v) for k, v in samples.items()} == {"en": 1000, "fr": 3}
+
+
 def test_languages_held_out(spark):
     lang = dict(rows_of("sf0.01", columns="doc_id, lang"))
     found = queries.QUERIES["op4_language_id"](spark, f"{TESTDATA}/sf0.01").collect()
