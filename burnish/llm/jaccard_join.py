@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from burnish.operators.dedup import dedup_keep_first
 from burnish.llm.common import components, mix, saved, shingles, slices, texts
 
 U = np.uint64
@@ -386,16 +387,14 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     first = rows.where("doc_id = component_id").groupBy("component").agg(F.min("row_hash").alias("first_hash"))
     stays = (F.col("doc_id") == F.col("component_id")) & (F.col("row_hash") == F.col("first_hash"))
     gone = rows.join(first, "component").where(~stays).select("doc_id", "row_hash").distinct()
-    gone = saved(gone.select(F.col("doc_id").alias("_gone_id"), F.col("row_hash").alias("_gone_hash")))
+    gone = saved(gone.select(F.col("doc_id").alias("__gone_id"), F.col("row_hash").alias("__gone_hash")))
     again = rows.groupBy("doc_id", "row_hash").count().where("count > 1")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    same = (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_hash"])
+    same = (F.col("doc_id") == F.col("__gone_id")) & (F.xxhash64("text") == F.col("__gone_hash"))
     left = docs.join(gone, same, "left_anti")
     if again.isEmpty():
         return left
-    # Rows of the same id and text: without words or id they all stay, of any others the first.
+    # Rows of the same id and text: without words or id they all stay, of any others the first by their other columns.
     worded = F.col("doc_id").isNotNull() & F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    left = left.withColumn("_worded", worded)
-    ones = left.where("_worded").dropDuplicates(["doc_id", "text"])
-    return ones.unionByName(left.where("not _worded")).drop("_worded")
+    return dedup_keep_first(left.where(worded), ["doc_id", "text"], ["doc_id"]).unionByName(left.where(~worded))

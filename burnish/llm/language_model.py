@@ -1,7 +1,7 @@
-"""Language-model scoring: interpolated modified Kneser-Ney over word pairs.
+"""Language-model scoring: interpolated modified Kneser-Ney over word pairs or triples.
 
-Spark counts the pairs; the model is kept as sorted hash arrays in files of the shared folder, which the scoring tasks
-map into memory. The order is two: the pairs of a large corpus are a few times its text, triples many times.
+Spark counts the n-grams of the highest order; the distinct words in front of an n-gram are the count of what is left of
+it. The model is kept as sorted hash arrays in files of the shared folder, which the scoring tasks map into memory.
 """
 
 from __future__ import annotations
@@ -18,25 +18,31 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import local_path, mix, remainder, saved, shared_dir, slices, texts, words
+from burnish.llm.common import held, local_path, map_rows, mix, remainder, saved, shared_dir, slices, texts, words
 
 U = np.uint64
-KEY = U((1 << 48) - 1)  # words are known by 48 bits of their hash
-START, END = U(1), U(2)
-TASK_TOKENS = 3_000_000  # tokens that a counting task sums up before it sends
-BUCKET_BYTES = 24 << 20  # text for each bucket of pairs
+START, END = U(1), U(2)  # words are known by 64 bits of a hash
+TASK_TOKENS = 1_500_000  # tokens that a counting task sums up before it sends
+BUCKET_BYTES = 8 << 20  # text for each bucket of pairs
+ORDER = 3  # words of the longest n-gram
+MANY = 255  # counts from here on are kept apart
 SPREAD = 16  # buckets over which the pairs of one first word are dealt out
 
 
-def tokens(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context word, word and document of every token: the words of each document, then its end."""
+def tokens(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The word two places before, the word before, the word and the document of every token: the words of each
+    document, then its end. Starts stand in front of a document."""
     value, doc = words(docs)
-    value = np.maximum(value & KEY, U(3))
+    value = np.maximum(value, U(3))
     count = np.bincount(doc, minlength=len(docs)).astype(np.int64)
     after = np.cumsum(count)
     word = np.insert(value, after, END)
-    context = np.insert(value, after - count, START)
-    return context, word, np.repeat(np.arange(len(docs)), count + 1)
+    first = np.cumsum(count + 1) - count - 1
+    context = np.append(START, word[:-1])[: len(word)]
+    context[first] = START
+    earlier = np.append(START, context[:-1])[: len(word)]
+    earlier[first] = START
+    return earlier, context, word, np.repeat(np.arange(len(docs)), count + 1)
 
 
 def bucket_of(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
@@ -59,14 +65,27 @@ def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.nd
 
 
 def pack(keys: np.ndarray) -> bytes:
-    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return keys.astype("<u8").tobytes()
 
 
 def unpack(blobs: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.view("<u8").ravel()
+    return np.frombuffer(b"".join(blobs), "<u8")
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts of any size: a byte each, and those that a byte doesn't hold as 64-bit numbers after all bytes."""
+    many = counts >= MANY
+    return np.where(many, MANY, counts).astype(np.uint8).tobytes() + counts[many].astype("<u8").tobytes()
+
+
+def unpack_counts(blobs: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The counts of several blobs in a row; `sizes` tells how many each one holds."""
+    out = []
+    for blob, n in zip(blobs, sizes):
+        counts = np.frombuffer(blob, np.uint8, n).astype(U)
+        counts[counts == MANY] = np.frombuffer(blob, "<u8", offset=n)
+        out.append(counts)
+    return np.concatenate([np.zeros(0, U), *out])
 
 
 def write_arrays(folder: str, name: str, arrays: list[np.ndarray]) -> None:
@@ -94,92 +113,160 @@ def map_arrays(path: str) -> list[np.ndarray]:
     return out
 
 
-def pair_blobs(docs: DataFrame, buckets: int) -> DataFrame:
-    """Pairs that a task has counted, by bucket: `context` and `word` (48 bits each), `count`."""
+def cut_by(bucket: np.ndarray, arrays: list[np.ndarray]) -> tuple[list[int], list[list[np.ndarray]]]:
+    """The buckets that occur, and the rows of each array by bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, arrays = bucket[order], [a[order] for a in arrays]
+    edge = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+    spans = [(x, y) for x, y in zip(edge, edge[1:]) if y > x]
+    return [int(bucket[x]) for x, _ in spans], [[a[x:y] for x, y in spans] for a in arrays]
+
+
+def home_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key) >> U(13)) % U(buckets)
+
+
+def gram_blobs(docs: DataFrame, order: int, buckets: int) -> DataFrame:
+    """The pairs or triples that a task has counted, by bucket: `context`, `word` (64 bits each) and `count`; for triples
+    the context is a hash of two words, and `middle` the second one."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, word, size = [], [], 0
+        held, size = [], 0
 
         def send() -> pa.RecordBatch:
-            a, b = np.concatenate(context), np.concatenate(word)
-            (a, b), (n,) = summed([a, b], [np.ones(len(a), np.uint32)])
-            bucket = bucket_of(a, b, buckets)
-            order = np.argsort(bucket, kind="stable")
-            a, b, n, bucket = a[order], b[order], n[order], bucket[order]
-            edge = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-            spans = [(x, y) for x, y in zip(edge, edge[1:]) if y > x]
-            columns = [
-                pa.array([int(bucket[x]) for x, _ in spans], pa.int64()),
-                pa.array([pack(a[x:y]) for x, y in spans], pa.binary()),
-                pa.array([pack(b[x:y]) for x, y in spans], pa.binary()),
-                pa.array([n[x:y].astype("<u4").tobytes() for x, y in spans], pa.binary()),
-            ]
-            return pa.record_batch(columns, ["bucket", "context", "word", "count"])
+            keys, (n,) = summed([np.concatenate(k) for k in zip(*held)], [np.ones(size, U)])
+            which, (first, *rest) = cut_by(bucket_of(keys[0], keys[-1], buckets), [*keys, n])
+            rest, counts = rest[:-1], rest[-1]
+            columns = [pa.array(which, pa.int64())]
+            columns += [pa.array([pack(x) for x in k], pa.binary()) for k in (first, *rest)]
+            columns.append(pa.array([pack_counts(x) for x in counts], pa.binary()))
+            return pa.record_batch(columns, names)
 
         for part in slices(batches):
-            a, b, _ = tokens(texts(part))
-            context.append(a)
-            word.append(b)
-            size += len(a)
+            earlier, context, word, _ = tokens(texts(part))
+            held.append([context, word] if order == 2 else [pair_key(earlier, context), context, word])
+            size += len(word)
             if size >= TASK_TOKENS:
                 yield send()
-                context, word, size = [], [], 0
-        if context:
+                held, size = [], 0
+        if size:
             yield send()
 
-    return docs.select("text").mapInArrow(counted, "bucket long, context binary, word binary, count binary")
+    names = ["bucket", "context", *(["middle"] if order == 3 else []), "word", "count"]
+    schema = ", ".join(f"{c} {'long' if c == 'bucket' else 'binary'}" for c in names)
+    return docs.select("text").mapInArrow(counted, schema)
+
+
+FIGURES = ["total", "one", "two", "more", "ends", "seen"]
+SUMS_SCHEMA = "level int, bucket long, context binary, key binary, " + ", ".join(f"{c} binary" for c in FIGURES)
+SUMS_SCHEMA += ", n1 long, n2 long, n3 long, n4 long"
+
+
+def sums_of(level: int, bucket: np.ndarray, context: np.ndarray | None, key: np.ndarray, figures: dict[str, np.ndarray]) -> pd.DataFrame:
+    """Rows of SUMS_SCHEMA: figures of words, contexts or pairs, by the bucket that they go to."""
+    names = [*figures]
+    which, parts = cut_by(bucket, [key, *figures.values(), *([] if context is None else [context])])
+    out = {"level": [level] * len(which), "bucket": which, "key": [pack(x) for x in parts[0]]}
+    out["context"] = [None] * len(which) if context is None else [pack(x) for x in parts[-1]]
+    for name in FIGURES:
+        out[name] = [pack_counts(x) for x in parts[1 + names.index(name)]] if name in figures else [None] * len(which)
+    return pd.DataFrame(out | {f"n{k}": [0] * len(which) for k in range(1, 5)})
+
+
+def begun(n: np.ndarray) -> dict[str, np.ndarray]:
+    """What n-grams of count n say of their context."""
+    return {"total": n, "one": (n == 1).astype(U), "two": (n == 2).astype(U), "more": (n > 2).astype(U)}
+
+
+def write_grams(folder: str, name: str, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
+    """Keys of the n-grams that were counted once, keys and counts of the others."""
+    key = pair_key(context, word)
+    order = np.argsort(key)
+    key, count = key[order], n[order]
+    one = count == 1
+    write_arrays(folder, name, [key[one], key[~one], count[~one]])
+
+
+def columns_of(rows: pd.DataFrame, keys: list[str], figures: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Keys and figures of blobs; figures that a row leaves out are 0."""
+    sizes = [len(x) // 8 for x in rows[keys[0]]]
+    values = [
+        np.concatenate([np.zeros(0, U), *(np.zeros(n, U) if x is None else unpack_counts([x], [n]) for x, n in zip(rows[f], sizes))])
+        for f in figures
+    ]
+    return [unpack(rows[k].tolist()) for k in keys], values
+
+
+def first_of(out: list[pd.DataFrame], n: np.ndarray) -> pd.DataFrame:
+    """All rows; the first one has the numbers of the bucket's n-grams by their count."""
+    rows = pd.concat(out, ignore_index=True)
+    for k in range(1, 5):
+        rows.loc[0, f"n{k}"] = int((n == k).sum())
+    return rows
 
 
-def count_pairs(blobs: DataFrame, buckets: int, folder: str) -> DataFrame:
+def count_triples(blobs: DataFrame, buckets: int, folder: str) -> DataFrame:
+    """Write the triples of each bucket; hand on figures of their contexts (level 3), the pairs that end them, once for
+    each distinct triple (level 2), and occurrences of single words (level 1)."""
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        keys, values = columns_of(rows, ["context", "middle", "word"], ["count"])
+        (context, middle, word), (n,) = summed(keys, values)
+        write_grams(folder, f"triples-{int(rows['bucket'].iloc[0])}", context, word, n)
+        (own,), sums = summed([context], [*begun(n).values()])
+        out = [sums_of(3, home_of(own, buckets), None, own, dict(zip(begun(n), sums)))]
+        (a, b), (once,) = summed([middle, word], [np.ones(len(n), U)])
+        out.append(sums_of(2, bucket_of(a, b, buckets), a, b, {"total": once}))
+        (own,), (seen,) = summed([word], [n])
+        out.append(sums_of(1, home_of(own, buckets), None, own, {"seen": seen}))
+        return first_of(out, n)
+
+    return blobs.groupBy("bucket").applyInPandas(merged, SUMS_SCHEMA)
+
+
+def count_pairs(blobs: DataFrame, buckets: int, folder: str, raw: bool = True) -> DataFrame:
     """Write the pairs of each bucket; hand on what they say of single words, by the bucket of the word.
 
-    Rows: `bucket`, `key`, and for each word its occurrences before another token (`total`), the pairs that it begins
-    with count 1, 2 and more, and those that it ends (`ends`); `n1` to `n4` count the bucket's pairs by their count.
+    For each word: its pairs' counts as a context (`total`), the pairs that it begins with count 1, 2 and more, those
+    that it ends (`ends`) and, if the counts are `raw`, its occurrences (`seen`).
     """
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = unpack(rows["context"].tolist()), unpack(rows["word"].tolist())
-        (a, b), (n,) = summed([a, b], [np.frombuffer(b"".join(rows["count"]), "<u4")])
-        key = pair_key(a, b)
-        order = np.argsort(key)
-        key, count = key[order], n[order]
-        one = count == 1
-        write_arrays(folder, f"pairs-{int(rows['bucket'].iloc[0])}", [key[one], key[~one], count[~one].astype(np.uint32)])
-        zero = np.zeros(len(n), np.uint32)
-        begin = [n, (n == 1).astype(np.uint32), (n == 2).astype(np.uint32), (n > 2).astype(np.uint32), zero]
-        end = [zero, zero, zero, zero, zero + np.uint32(1)]
-        (word,), sums = summed([np.concatenate([a, b])], [np.concatenate([x, y]) for x, y in zip(begin, end)])
-        home = (mix(word) >> U(13)) % U(buckets)
-        order = np.argsort(home, kind="stable")
-        word, sums, home = word[order], [s[order] for s in sums], home[order]
-        edge = [0, *(np.flatnonzero(home[1:] != home[:-1]) + 1).tolist(), len(home)]
-        spans = [(x, y) for x, y in zip(edge, edge[1:]) if y > x]
-        out = {"bucket": [int(home[x]) for x, _ in spans], "key": [pack(word[x:y]) for x, y in spans]}
-        for name, s in zip(("total", "one", "two", "more", "ends"), sums):
-            out[name] = [s[x:y].astype("<u4").tobytes() for x, y in spans]
-        for k in range(1, 5):
-            out[f"n{k}"] = [int((n == k).sum())] + [0] * (len(spans) - 1)
-        return pd.DataFrame(out)
-
-    schema = "bucket long, key binary, total binary, one binary, two binary, more binary, ends binary"
-    return blobs.groupBy("bucket").applyInPandas(merged, schema + ", n1 long, n2 long, n3 long, n4 long")
+        keys, values = columns_of(rows, ["context", "word"], ["count"])
+        (a, b), (n,) = summed(keys, values)
+        write_grams(folder, f"pairs-{int(rows['bucket'].iloc[0])}", a, b, n)
+        zero = np.zeros(len(n), U)
+        begin = begun(n) | {"ends": zero, "seen": zero}
+        end = dict.fromkeys(begun(n), zero) | {"ends": zero + U(1), "seen": n if raw else zero}
+        (word,), sums = summed([np.concatenate([a, b])], [np.concatenate([begin[f], end[f]]) for f in FIGURES])
+        return first_of([sums_of(1, home_of(word, buckets), None, word, dict(zip(FIGURES, sums)))], n)
+
+    return blobs.groupBy("bucket").applyInPandas(merged, SUMS_SCHEMA)
+
+
+def count_contexts(parts: DataFrame, folder: str) -> DataFrame:
+    """Write the figures of the contexts of triples, by bucket."""
+    names = FIGURES[:4]
+
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        (key,), sums = summed(*columns_of(rows, ["key"], names))
+        write_arrays(folder, f"contexts-{int(rows['bucket'].iloc[0])}", [key, *sums])
+        return pd.DataFrame({"contexts": [len(key)]})
+
+    return parts.groupBy("bucket").applyInPandas(merged, "contexts long")
 
 
 def count_words(parts: DataFrame, folder: str) -> DataFrame:
-    """Write the words of each bucket: `total`, `one`, `two`, `more`, `ends`. Hands on the sums over all words."""
-    names = ["total", "one", "two", "more", "ends"]
+    """Write the figures of the words of each bucket. Hands on the sums over all words."""
 
     def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        values = [np.frombuffer(b"".join(rows[k]), "<u4").astype(np.uint64) for k in names]
-        (key,), sums = summed([unpack(rows["key"].tolist())], values)
-        write_arrays(folder, f"words-{int(rows['bucket'].iloc[0])}", [key, sums[0], *[s.astype(np.uint32) for s in sums[1:]]])
-        real = (key != START) & (key != END)
-        ends, start = sums[4], sums[0][key == START].sum()
-        out = {"tokens": int(sums[0][real].sum() + start), "types": int((sums[0][real] > 0).sum()), "starts": int(start)}
-        out |= {"pairs": int(ends.sum())} | {f"m{k}": int((ends == k).sum()) for k in range(1, 5)}
-        return pd.DataFrame([out | {"m5": int((ends > 4).sum())}])
-
-    schema = "tokens long, types long, starts long, pairs long, m1 long, m2 long, m3 long, m4 long, m5 long"
+        (key,), sums = summed(*columns_of(rows, ["key"], FIGURES))
+        write_arrays(folder, f"words-{int(rows['bucket'].iloc[0])}", [key, *sums])
+        ends, seen = sums[4], sums[5]
+        out = {"tokens": int(seen.sum()), "types": int((seen > 0).sum()), "pairs": int(ends.sum())}
+        return pd.DataFrame([out | {f"m{k}": int((ends == k).sum()) for k in range(1, 5)} | {"m5": int((ends > 4).sum())}])
+
+    schema = "tokens long, types long, pairs long, m1 long, m2 long, m3 long, m4 long, m5 long"
     return parts.groupBy("bucket").applyInPandas(merged, schema)
 
 
@@ -199,40 +286,52 @@ class Model:
 
     folder: str
     buckets: int
+    order: int = 2
     tokens: int = 0
     types: int = 0
-    docs: int = 0
     pairs: int = 0
+    triple_counts: tuple[int, ...] = (0, 0, 0, 0)
     pair_counts: tuple[int, ...] = (0, 0, 0, 0)
     word_counts: tuple[int, ...] = (0, 0, 0, 0, 0)
 
     def scorer(self) -> Scorer:
-        if self not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[self] = Scorer(self)
-        return _SCORERS[self]
+        """One scorer a Python worker; it maps the files it needs."""
+        return held(self, lambda: Scorer(self))
+
 
+def _by_count(parts: DataFrame) -> tuple[int, ...]:
+    return tuple(parts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(1, 5)]).first())
 
-def train(docs: DataFrame) -> Model:
-    """Count the pairs of `docs` (`text`) and write the model. A null text is empty, and its end is a token."""
+
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """Count the n-grams of `docs` (`text`) up to `order`, 2 or 3, and write the model. A null text is empty, and its
+    end is a token."""
+    if order not in (2, 3):
+        raise ValueError("the order is 2 or 3")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, size // BUCKET_BYTES)
     folder = local_path(shared_dir(docs.sparkSession))
-    parts = saved(count_pairs(pair_blobs(docs, buckets), buckets, folder))
-    n = parts.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(1, 5)]).first()
-    totals = saved(count_words(parts, folder))
+    blobs, triples, extra = gram_blobs(docs, order, buckets), (0, 0, 0, 0), None
+    if order == 3:
+        extra = saved(count_triples(blobs, buckets, folder))
+        triples = _by_count(extra)
+        count_contexts(extra.where("level = 3"), folder).agg(F.sum("contexts")).collect()
+        blobs = extra.where("level = 2").select("bucket", "context", F.col("key").alias("word"), F.col("total").alias("count"))
+    parts = saved(count_pairs(blobs, buckets, folder, raw=order == 2))
+    words = parts if extra is None else parts.unionByName(extra.where("level = 1"))
+    totals = count_words(words, folder)
     t = totals.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in totals.columns]).first()
-    types = t[1] + (1 if t[2] else 0)
-    return Model(folder, buckets, t[0], types, t[2], t[3], tuple(n), tuple(t[4:]))
+    return Model(folder, buckets, order, t[0], t[1], t[2], triples, _by_count(parts), tuple(t[3:]))
 
 
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.files = model, {}
-        self.d2, self.d1 = discounts(list(model.pair_counts)), discounts(list(model.word_counts[:4]))
+        self.d3, self.d2 = discounts(list(model.triple_counts)), discounts(list(model.pair_counts))
+        self.d1 = discounts(list(model.word_counts[:4]))
         m = model.word_counts
         rest = self.d1[1] * m[0] + self.d1[2] * m[1] + self.d1[3] * (m[2] + m[3] + m[4])
-        self.floor = (rest / model.pairs if model.pairs else 1.0) / (model.types + 1)
+        self.floor = (rest / model.pairs if model.pairs else 1.0) / (model.types + 1)  # one more for unknown words
 
     def _file(self, name: str) -> list[np.ndarray] | None:
         if name not in self.files:
@@ -247,19 +346,19 @@ class Scorer:
             if len(at) and (arrays := self._file(f"{kind}-{int(bucket[at[0]])}")) is not None:
                 yield at, key[at], arrays
 
-    def word_table(self, key: np.ndarray) -> np.ndarray:
-        """total, one, two, more, ends of distinct words; zeros for unknown ones."""
-        out = np.zeros((5, len(key)))
-        for at, k, (keys, *values) in self._by_bucket("words", (mix(key) >> U(13)) % U(self.model.buckets), key):
+    def figures(self, kind: str, key: np.ndarray, rows: int) -> np.ndarray:
+        """The first `rows` figures of distinct words or contexts; zeros for unknown ones."""
+        out = np.zeros((rows, len(key)))
+        for at, k, (keys, *values) in self._by_bucket(kind, home_of(key, self.model.buckets), key):
             place = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
             hit = keys[place] == k
-            for row, v in enumerate(values):
+            for row, v in enumerate(values[:rows]):
                 out[row, at[hit]] = v[place[hit]]
         return out
 
-    def pair_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    def counts(self, kind: str, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         out, key = np.zeros(len(word)), pair_key(context, word)
-        for at, k, (single, keys, count) in self._by_bucket("pairs", bucket_of(context, word, self.model.buckets), key):
+        for at, k, (single, keys, count) in self._by_bucket(kind, bucket_of(context, word, self.model.buckets), key):
             if len(single):
                 place = np.minimum(np.searchsorted(single, k), len(single) - 1)
                 out[at[single[place] == k]] = 1
@@ -269,59 +368,62 @@ class Scorer:
                 out[at[hit]] = count[place[hit]]
         return out
 
+    @staticmethod
+    def interpolated(count: np.ndarray, figures: np.ndarray, d: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Discounted share of the n-gram in its context, and what the discounts leave times the lower order."""
+        total, one, two, more = figures
+        high = np.maximum(count - d[np.minimum(count, 3).astype(int)], 0)
+        back = d[1] * one + d[2] * two + d[3] * more
+        return np.where(total > 0, (high + back * low) / np.maximum(total, 1), low)
+
     def __call__(self, docs: list[bytes]) -> list[np.ndarray]:
         """Tokens, known tokens, base score and score of each document."""
-        context, word, doc = tokens(docs)
-        size = len(docs)
-        (a, b), _ = summed([context, word], [])
-        which = np.unique(np.concatenate([a, b]))
-        total, one, two, more, ends = self.word_table(which)
-        at, to = np.searchsorted(which, a), np.searchsorted(which, b)
-        m, d1, d2 = self.model, self.d1, self.d2
-        low = np.maximum(ends - d1[np.minimum(ends, 3).astype(int)], 0) / max(m.pairs, 1) + self.floor
-        count = self.pair_counts(a, b)
-        seen = total[at]
-        high = np.maximum(count - d2[np.minimum(count, 3).astype(int)], 0)
-        back = d2[1] * one[at] + d2[2] * two[at] + d2[3] * more[at]
-        prob = np.where(seen > 0, (high + back * low[to]) / np.maximum(seen, 1), low[to])
-        known = np.where(which == END, m.docs, total)
-        known[which == START] = 0
-        base = np.log10((known + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
-        # Every token's pair: contexts and words are sorted together, so the pair's place is found by its parts.
-        pair = np.searchsorted(at * len(which) + to, np.searchsorted(which, context) * len(which) + np.searchsorted(which, word))
-        place = to[pair]
+        earlier, context, word, doc = tokens(docs)
+        size, m = len(docs), self.model
+        which = np.unique(np.concatenate([context, word]))
+        words = self.figures("words", which, len(FIGURES))
+        ends, seen = words[4], words[5]
+        low = np.maximum(ends - self.d1[np.minimum(ends, 3).astype(int)], 0) / max(m.pairs, 1) + self.floor
+        base = np.log10((seen + 0.5) / (m.tokens + 0.5 * (m.types + 1)))
+        at, to = np.searchsorted(which, context), np.searchsorted(which, word)
+        # Each distinct pair once.
+        pair, of_pair = np.unique(at * len(which) + to, return_inverse=True)
+        a, b = pair // max(len(which), 1), pair % max(len(which), 1)
+        prob = self.interpolated(self.counts("pairs", which[a], which[b]), words[:4, a], self.d2, low[b])[of_pair]
+        if m.order == 3:
+            two = pair_key(earlier, context)
+            own, of_own = np.unique(two, return_inverse=True)
+            figures = self.figures("contexts", own, 4)[:, of_own]
+            prob = self.interpolated(self.counts("triples", two, word), figures, self.d3, prob)
         return [
             np.bincount(doc, minlength=size),
-            np.bincount(doc, known[place] > 0, size).astype(np.int64),
-            np.bincount(doc, base[place], size),
-            np.bincount(doc, np.log10(prob)[pair], size),
+            np.bincount(doc, seen[to] > 0, size).astype(np.int64),
+            np.bincount(doc, base[to], size),
+            np.bincount(doc, np.log10(prob), size),
         ]
 
 
-_SCORERS: dict[Model, Scorer] = {}
-
-
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` without `text`, with `n_tokens`, `n_known`, `base_score`, `score` and `perplexity` of the text."""
     columns = [c for c in docs.columns if c != "text"]
-    at = [docs.columns.index(c) for c in columns]
     names = ["n_tokens", "n_known", "base_score", "score", "perplexity"]
 
+    at = len(columns)
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for part in slices(batches):
-            n, known, base, value = score(texts(part))
+        for part in slices(batches, f"c{at}", model=model):
+            n, known, base, value = score(texts(part, f"c{at}"))
             numbers = [pa.array(n, pa.int64()), pa.array(known, pa.int64())]
             numbers += [pa.array(x, pa.float64()) for x in (base, value, 10 ** np.minimum(-value / n, 300))]
-            yield pa.record_batch([*[part.column(k) for k in at], *numbers], [*columns, *names])
+            yield pa.record_batch([*part.columns, *numbers], [*part.schema.names, *names])
 
-    schema = docs.select(*columns).schema
-    for name, kind in zip(names, ("long", "long", "double", "double", "double")):
-        schema = schema.add(name, kind)
-    return docs.mapInArrow(scored, schema)
+    kinds = ("long", "long", "double", "double", "double")
+    found = map_rows(docs, [*columns, "text"], scored, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    return found.drop("text")
 
 
-def model_table(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
+def model_table(docs: DataFrame, held_out: Column | None = None, order: int = ORDER) -> DataFrame:
     """`doc_id`, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`, `perplexity` of each row.
 
     The model learns from the rows that aren't held out. Null and empty texts have one token, their end. With nothing to
@@ -330,6 +432,6 @@ def model_table(docs: DataFrame, held_out: Column | None = None) -> DataFrame:
     """
     out = remainder("doc_id", 5) == 1 if held_out is None else held_out
     rows = docs.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "text")
-    model = train(rows.where(~F.col("held_out")))
+    model = train(rows.where(~F.col("held_out")), order)
     scored = score_texts(rows, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

@@ -20,10 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from burnish.llm.common import saved, slices
+from burnish.llm.common import held, saved, slices
+from burnish.llm.token_files import KnownWords, closed_texts
 from burnish.operators.ranking import ranked
 
-KNOWN_BYTES = 64 << 20  # words and ids that a task keeps; then it starts over
 # Texts whose words can't be told apart by single blanks and line feeds, or that may hold a special token.
 WHOLE = (
     r"\A[ \n]|[ \n]\z|[ \n][ \n]|<\||"
@@ -34,7 +34,7 @@ WHOLE = (
 class ByteEncoder:
     """Ids of whole texts by a byte-level tokenizer that splits texts in front of single blanks and around line feeds.
 
-    The words between them are encoded once a task and looked up; texts with other white space, or with what may be a
+    The words between them are encoded once a worker and looked up; texts with other white space, or with what may be a
     special token, are encoded as they are.
     """
 
@@ -43,57 +43,30 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self._forget()
-
-    def _forget(self):
-        # The empty word, at place 0, stands for a line feed.
-        self.place, self.bytes = {"": 0}, 0
-        self.ids, self.first = [np.array(self.feed, np.uint32)], [np.array([0, len(self.feed)], np.int64)]
-
-    def _learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.place]
-        if not new:
-            return
-        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        count = np.bincount(np.array(found.word_ids, np.int64), minlength=len(new))
-        self.ids.append(np.array(found.ids, np.uint32))
-        self.first.append(self.first[-1][-1] + np.cumsum(count))
-        self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.bytes += sum(map(len, new)) + 100 * len(new) + 4 * len(found.ids)
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        # The empty word stands for a line feed.
+        self.known = KnownWords(self.tokenizer, feed)
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text closed by `end_id`, and the number of ids of each text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
         whole = pc.or_(pc.match_substring_regex(texts, WHOLE), pc.equal(texts, ""))
         as_whole = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
-        if self.bytes > KNOWN_BYTES:
-            self._forget()
         plain = pc.if_else(whole, "", texts)
         split = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, "\n", "\n\n"), " ", "\n "), "\n")
         sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        self._learn(words)
-        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
-        flat, first = np.concatenate(self.ids), np.concatenate(self.first)
-        self.ids, self.first = [flat], [first]
-
-        # Whole texts take the place of their one empty word, after all known words; so does the end of each text.
+        self.known.learn(words)
+        place = self.known.places(words)[coded.indices.to_numpy()]
+        flat, first = self.known.arrays()
+        # Whole texts take the place of their one empty word, after all known words.
         others = self.tokenizer.encode_batch_fast([texts[i].as_py() for i in as_whole.tolist()], add_special_tokens=False)
-        more = [np.array([end_id], np.uint32), *(np.array(x.ids, np.uint32) for x in others)]
-        known = len(first) - 1
-        stop = np.cumsum(sizes)
-        place[stop[as_whole] - 1] = known + 1 + np.arange(len(as_whole))
-        place = np.insert(place, stop, known)
+        place[np.cumsum(sizes)[as_whole] - 1] = len(first) - 1 + np.arange(len(as_whole))
+        more = [np.array(x.ids, np.uint32) for x in others]
         flat = np.concatenate([flat, *more])
-        first = np.append(first, first[-1] + np.cumsum([len(x) for x in more]))
-        count = first[place + 1] - first[place]
-        after = np.cumsum(count)
-        ids = flat[np.repeat(first[place] - (after - count), count) + np.arange(after[-1] if len(after) else 0)]
-        ends = np.append(0, after)[np.cumsum(sizes + 1)] if n else np.zeros(0, np.int64)
-        return ids, np.diff(ends, prepend=0)
+        first = np.append(first, first[-1] + np.cumsum([len(x) for x in more], dtype=np.int64))
+        return closed_texts(flat, first, place, sizes, end_id)
 
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -106,8 +79,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(path)
-        for part in slices(batches, limit=4 << 20):
+        encoder = held(("bytes", path), lambda: ByteEncoder(path))
+        for part in slices(batches, limit=16 << 20, model=("bytes", path)):
             ids, count = encoder(part.column(1), end_id)
             many = -(-count // capacity)
             of = np.repeat(np.arange(len(count)), many)

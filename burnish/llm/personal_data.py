@@ -1,8 +1,8 @@
 """Personal data: base patterns with positions, and bootstrapped contextual extraction of what they don't know.
 
 Base spans are seeds, each as a whole. The words in front of them are lexical patterns; every identifier-like word, or
-run of words of digits, that follows a pattern is an instance. Patterns and instances score each other in turns on that graph, and confident patterns add the
-instances that the base patterns miss. All of it is made of DataFrame functions.
+run of words of digits, that follows a pattern is an instance. Patterns and instances score each other in turns on that
+graph, and confident patterns add the instances that the base patterns miss. All of it is made of DataFrame functions.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from burnish.functions.text import named
 from burnish.llm.common import saved
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,26 +43,45 @@ CONTEXT_CHARS = 80
 ROUNDS = 3
 MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.8
+OWN_ID, OWN_HASH, OWN_ADDED = "__redacted_id", "__redacted_hash", "__redacted_added"
 BROADCAST_ROWS = 200_000  # rows with added spans that a task may hold whole; more are joined by a shuffle
 
-SPANS = "array<struct<start:int,end:int,value:string>>"
+SPANS = "array<struct<start:int,end:int,value:string,lead:string>>"
+BLOCK = 256  # matches whose array grows one by one; blocks of them are put together at the end
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their code points: what lies between the matches gives the positions."""
+    """Leftmost non-overlapping matches: code points `start` and `end`, `value`, and the CONTEXT_CHARS code points in
+    front of it as `lead`. What lies between the matches gives the positions, so the text is walked through once."""
     steps = F.arrays_zip(
         F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value")
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
 
     def step(acc, x):
         begin = acc["at"] + F.length(x["before"])
         end = begin + F.coalesce(F.length(x["value"]), F.lit(0))
-        span = F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))
-        found = F.when(x["value"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], span))
-        return F.struct(end.alias("at"), found.alias("found"))
-
-    return F.aggregate(steps, start, step, lambda acc: acc["found"])
+        lead = F.right(F.concat(acc["tail"], x["before"]), F.lit(CONTEXT_CHARS))
+        span = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"), lead.alias("lead"))
+        found = F.when(x["value"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(span)))
+        tail = F.right(F.concat(lead, F.coalesce(x["value"], F.lit(""))), F.lit(CONTEXT_CHARS))
+        return F.struct(end.alias("at"), tail.alias("tail"), found.alias("found"))
+
+    def block(acc, part):
+        start = F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), F.array().cast(SPANS).alias("found"))
+        one = F.aggregate(part, start, step)
+        # A name for the block's result, which is taken apart.
+        return F.transform(
+            F.array(one),
+            lambda o: F.struct(o["at"].alias("at"), o["tail"].alias("tail"), F.concat(acc["out"], F.array(o["found"])).alias("out")),
+        )[0]
+
+    def whole(all_steps):
+        numbers = F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / BLOCK).cast("int"))
+        parts = F.transform(numbers, lambda b: F.slice(all_steps, b * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPANS}>").alias("out"))
+        return F.aggregate(parts, start, block, lambda acc: F.flatten(acc["out"]))
+
+    return F.transform(F.array(steps), whole)[0]
 
 
 def _luhn(digits: Column) -> Column:
@@ -80,13 +100,21 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
-    """Valid matches of one kind as `start`, `end` (exclusive) in code points; matches that fail are not retried."""
+def _base(text: Column, kind: str) -> Column:
+    """Valid matches of one kind; matches that fail are not retried."""
     found = F.filter(matches(text, PATTERNS[kind]), lambda x: valid(kind, x["value"]))
-    spans = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     if NEEDED[kind]:
-        return F.when(F.contains(text, F.lit(NEEDED[kind])), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-    return spans
+        return F.when(F.contains(text, F.lit(NEEDED[kind])), found).otherwise(F.array().cast(SPANS))
+    return found
+
+
+def _places(found: Column) -> Column:
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+
+def base_spans(text: Column, kind: str) -> Column:
+    """Valid matches of one kind as `start`, `end` (exclusive) in code points."""
+    return _places(_base(text, kind))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -94,53 +122,51 @@ def scan(docs: DataFrame) -> DataFrame:
     front of them, or the one at the beginning of a text.
 
     Candidates are the base spans, the runs of words of digits and the words with a digit or an @. A run that overlaps
-    a base span is none, nor is a word that overlaps a base span or lies in a run.
+    a base span is none, nor is a word that overlaps a base span or lies in a run. Of a context, CONTEXT_CHARS code
+    points are looked at.
     """
     text = F.coalesce("text", F.lit(""))
-    lead = lambda at: F.substring(text, F.greatest(at - CONTEXT_CHARS, F.lit(0)) + 1, F.least(at, F.lit(CONTEXT_CHARS)))
 
-    def candidate(start, value, seed):
-        before = F.regexp_replace(F.lower(F.regexp_extract(lead(start), r"((?:\S+\s+)?\S+)\s+\S*$", 1)), "[0-9]", "0")
-        return F.struct(start.alias("start"), value.alias("value"), before.alias("lead"), F.lit(seed).alias("seed"))
+    def meets(x, spans):
+        return F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"]))
+
+    def candidate(x, seed):
+        before = F.regexp_replace(F.lower(F.regexp_extract(x["lead"], r"((?:\S+\s+)?\S+)\s+\S*$", 1)), "[0-9]", "0")
+        # A word or run that is none of the base spans meets none of them.
+        kinds = [(meets(x, F.col(k)) if seed else F.lit(False)).alias(k) for k in KINDS]
+        return F.struct(x["start"].alias("start"), x["value"].alias("value"), before.alias("lead"), F.lit(seed).alias("seed"), *kinds)
 
     def clear(x, *others):
-        free = [~F.exists(o, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])) for o in others]
-        return reduce(lambda a, b: a & b, free)
+        return reduce(lambda a, b: a & b, [~meets(x, F.col(o)) for o in others])
 
     has = F.regexp_like(text, F.lit("[0-9@]"))
     none = F.array().cast(SPANS)
     runs = F.filter(matches(text, RUN), lambda x: F.length(F.regexp_replace(x["value"], "[^0-9]", "")).between(*RUN_DIGITS))
     rows = docs.select(
         "doc_id",
-        "text",
         F.xxhash64("text").alias("row_hash"),
-        *[base_spans(text, k).alias(k) for k in KINDS],
+        *[_base(text, k).alias(f"base_{k}") for k in KINDS],
         F.when(F.regexp_like(text, F.lit("[0-9][)]? [+(]{0,2}[0-9]")), runs).otherwise(none).alias("runs"),
         F.when(has, matches(text, CANDIDATE)).otherwise(none).alias("words"),
     )
+    rows = rows.select("*", *[_places(F.col(f"base_{k}")).alias(k) for k in KINDS])
     rows = rows.withColumn("runs", F.filter("runs", lambda x: clear(x, *KINDS)))
-    seeds = [
-        F.transform(k, lambda s: candidate(s["start"], F.substring(text, s["start"] + 1, s["end"] - s["start"]), True))
-        for k in KINDS
-    ]
-    runs = F.transform("runs", lambda x: candidate(x["start"], x["value"], False))
-    words = F.transform(
-        F.filter("words", lambda x: clear(x, *KINDS, "runs")), lambda x: candidate(x["start"], x["value"], False)
-    )
+    seeds = [F.transform(f"base_{k}", lambda x: candidate(x, True)) for k in KINDS]
+    runs = F.transform("runs", lambda x: candidate(x, False))
+    words = F.transform(F.filter("words", lambda x: clear(x, *KINDS, "runs")), lambda x: candidate(x, False))
     rows = rows.withColumn("candidates", F.concat(*seeds, runs, words))
-    return saved(rows.drop("text", "runs", "words").withColumn("row", F.monotonically_increasing_id()))
+    return saved(rows.select("doc_id", "row_hash", *KINDS, "candidates", F.monotonically_increasing_id().alias("row")))
 
 
 def _instances(rows: DataFrame) -> DataFrame:
     """One row per candidate and pattern: `row`, `start`, `end`, `value`, `pattern`, and for each kind whether a base
     span of it overlaps (a seed). Punctuation around a word or run doesn't belong to it."""
-    one = rows.select("row", *KINDS, F.explode("candidates").alias("c"))
+    one = rows.select("row", F.explode("candidates").alias("c"))
     core = F.when(F.col("c.seed"), F.col("c.value")).otherwise(F.regexp_extract("c.value", r"[0-9A-Za-z+(].*[0-9A-Za-z)]", 0))
     start = F.col("c.start") + F.greatest(F.instr(F.col("c.value"), core) - 1, F.lit(0))
     one = one.withColumn("value", core).withColumn("start", start).where(F.length("value") > 0)
     one = one.withColumn("end", F.col("start") + F.length("value"))
-    overlaps = lambda k: F.exists(k, lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    one = one.select("row", "start", "end", "value", F.col("c.lead").alias("lead"), *[overlaps(k).alias(k) for k in KINDS])
+    one = one.select("row", "start", "end", "value", F.col("c.lead").alias("lead"), *[F.col(f"c.{k}").alias(k) for k in KINDS])
     words = F.split(F.trim("lead"), r"\s+")
     patterns = F.array_distinct(F.array(F.concat_ws(" ", words), F.element_at(words, -1)))
     # Words, not the first part of a number.
@@ -231,12 +257,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     replaced together, under the kind of the first. Null texts stay null. `n_chars`, if there, follows the text."""
     added = find_personal_data(docs).where(F.size("added") > 0)
     added = added.select(
-        F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash"), F.array_sort("added").alias("_added")
+        F.col("doc_id").alias(OWN_ID), F.col("row_hash").alias(OWN_HASH), F.array_sort("added").alias(OWN_ADDED)
     )
     added = saved(added.distinct())
     if added.count() <= BROADCAST_ROWS:
         added = F.broadcast(added)
-    same = docs["doc_id"].eqNullSafe(added["_id"]) & (F.xxhash64(docs["text"]) == added["_hash"])
+    same = F.col("doc_id").eqNullSafe(F.col(OWN_ID)) & (F.xxhash64("text") == F.col(OWN_HASH))
     joined = docs.join(added, same, "left")
     text = F.coalesce("text", F.lit(""))
 
@@ -245,7 +271,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     spans = [labelled(base_spans(text, k), lambda s, k=k: F.lit(k)) for k in KINDS]
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    spans.append(F.coalesce(labelled(F.col("_added"), lambda s: s["kind"]), none))
+    spans.append(F.coalesce(labelled(F.col(OWN_ADDED), lambda s: s["kind"]), none))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
@@ -258,9 +284,9 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
 
     clean = F.aggregate(F.sort_array(F.concat(*spans)), start, step, close)
-    risky = F.col("_added").isNotNull() | F.regexp_like(text, F.lit("[0-9@]"))
+    risky = F.col(OWN_ADDED).isNotNull() | F.regexp_like(text, F.lit("[0-9@]"))
     out = joined.withColumn("text", F.when(risky & F.col("text").isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+    return out.select(*map(named, docs.columns))

@@ -26,7 +26,7 @@ from burnish.llm.language_model import map_arrays, pack, summed, unpack, write_a
 U = np.uint64
 LENGTH = 200
 GRAM = 64
-KEY = U((1 << 48) - 1)
+KEY = U((1 << 64) - 1)  # bits of a hash that are kept
 BUCKET_BYTES = 16 << 20  # text for each bucket
 HOT_CONTEXTS = 4096  # an anchor with more different contexts (about 1 MB) is dealt out by string
 SETTLED, PARTNER, OPEN, HOT = 1, 2, 3, 4  # HOT: an open context or a partner of a hot anchor

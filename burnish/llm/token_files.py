@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from burnish.llm.common import saved, shared_dir, slices
+from burnish.llm.common import held, saved, shared_dir, slices
 
 MAGIC = b"TOKSVB01"
 FILE_TOKENS = 4 << 20  # a file closes after the document that reaches this
-KNOWN_WORDS = 800_000  # words whose ids a task keeps; then it starts over
+KNOWN_BYTES = 128 << 20  # words and ids that a worker keeps for its tasks; then it starts over
 
 # For each control byte: the lengths of its four ids, and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -51,78 +52,137 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
-# Letters that have one lower-case form and no combining marks, then marks that the tokenizer splits off as one run.
-PLAIN_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u024F]+)([.,;:!?|&$%#*()\"-]*)")
+def blanks_part_words(path: str) -> bool:
+    """Whether the tokenizer of a file drops blanks and line feeds and looks at the words between them one by one.
+
+    That holds if text is only normalised, put in lower case and cut into matches of one pattern, none of which holds
+    white space, before bytes are encoded. Other files may be right, too, but are not known to be.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+
+    def parts(entry: dict | None, name: str) -> list[dict]:
+        return [] if entry is None else entry[name] if entry["type"] == "Sequence" else [entry]
+
+    for step in parts(spec["normalizer"], "normalizers"):
+        blanks = step["type"] == "Replace" and step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "
+        if not (blanks or step["type"] in ("NFC", "Lowercase")):
+            return False
+    steps = parts(spec["pre_tokenizer"], "pretokenizers")
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        return False
+    split = steps[0]
+    if not (split["invert"] and split["behavior"] == "Removed" and "Regex" in split["pattern"]):
+        return False
+    tried = regex.compile(split["pattern"]["Regex"])
+    others = "aÉ漢1.,'s\u0301😀\0"
+    return not any(regex.search(r"\s", m) for x in others for b in " \n" for m in tried.findall(f"{x}{b}{x} {b}\n{x}"))
+
+
+MARKS = ".,;:!?"
+
+
+class KnownWords:
+    """Ids of the words that a worker has met, encoded once each, in arrays; bounded by KNOWN_BYTES.
+
+    For tokenizers that part letters from the marks behind them: a word that ends in marks is put together from its
+    parts, so that the same word with and without marks is encoded once.
+    """
+
+    def __init__(self, tokenizer, empty: Sequence[int] = ()):
+        self.tokenizer, self.empty = tokenizer, np.array(empty, np.uint32)
+        self.forget()
+
+    def forget(self) -> None:
+        """Keeps the empty word alone, at place 0."""
+        self.place, self.bytes = {"": 0}, 0
+        self.ids, self.first = [self.empty], [np.array([0, len(self.empty)], np.int64)]
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and where those of each place begin."""
+        flat, first = np.concatenate(self.ids), np.concatenate(self.first)
+        self.ids, self.first = [flat], [first]
+        return flat, first
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in a row, and where those of each word end."""
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        end = np.cumsum([*map(len, each)])
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(end[-1])), end
+
+    def _add(self, words: list[str], ids: np.ndarray, end: np.ndarray) -> None:
+        self.ids.append(ids)
+        self.first.append(self.first[-1][-1] + end)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.bytes += 2 * sum(map(len, words)) + 100 * len(words) + 4 * len(ids)
+
+    def learn(self, words: list[str]) -> None:
+        if self.bytes > KNOWN_BYTES:
+            self.forget()
+        known = self.place
+        new = [w for w in words if w not in known]
+        alone, marked = {}, []
+        for w in new:
+            core = w.rstrip(MARKS)
+            if core != w and core[-1:].lower().isalpha():
+                marked.append((w, core, w[len(core) :]))
+                alone[core] = alone[w[len(core) :]] = None
+            else:
+                alone[w] = None
+        alone = [w for w in alone if w not in known]
+        if alone:
+            self._add(alone, *self._encoded(alone))
+        if marked:
+            flat, first = self.arrays()
+            parts = np.array([known[x] for _, *pair in marked for x in pair], np.int64)
+            count = first[parts + 1] - first[parts]
+            end = np.cumsum(count)
+            ids = flat[np.repeat(first[parts] - (end - count), count) + np.arange(end[-1])]
+            self._add([w for w, *_ in marked], ids, end[1::2])
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+
+def closed_texts(flat: np.ndarray, first: np.ndarray, place: np.ndarray, sizes: np.ndarray, end_id: int):
+    """The ids of the words at `place`, `sizes` words a text, each text closed by `end_id`, and the ids of each text."""
+    place = np.insert(place, np.cumsum(sizes), len(first) - 1)
+    flat, first = np.append(flat, np.uint32(end_id)), np.append(first, first[-1] + 1)
+    count = first[place + 1] - first[place]
+    stop = np.cumsum(count)
+    ids = flat[np.repeat(first[place] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+    return ids, np.diff(np.append(0, stop)[np.cumsum(sizes + 1)], prepend=0)
 
 
 class WordEncoder:
     """The ids of whole texts, by the tokenizers library.
 
-    `by_word` is for tokenizers that put text in lower case, drop white space and split letters from marks, so that no
-    token crosses a blank or line feed: the words between them are encoded once and looked up. A plain word goes
-    straight to the tokenizer's model, any other through the whole tokenizer. Without it, each text is encoded itself.
+    With `by_word`, for tokenizers that look at the words between blanks and line feeds one by one, each distinct word
+    is encoded once a worker and looked up; without it, each text is encoded itself. Left open, the file decides.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        self.model, self.tails = self.tokenizer.model, {"": []}
-        # The characters that stand for the bytes 0 to 255 in a byte-level vocabulary: those printable as they are, in
-        # order, and from U+0100 on one for each other byte.
-        alphabet = set(ByteLevel.alphabet())
-        others = [b for b in range(256) if chr(b) not in alphabet]
-        self.stands = {b: 256 + k for k, b in enumerate(others)}
-        self._forget()
-
-    def _forget(self):
-        self.place, self.flat, self.first, self.count = {}, array("I"), array("q"), array("q")
-
-    def _word(self, word: str) -> list[int]:
-        plain = PLAIN_WORD.fullmatch(word)
-        if not plain:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        core, tail = plain.groups()
-        if tail not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails = {"": []}
-            self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
-        core = core.lower()
-        if not core.isascii():
-            core = core.encode().decode("latin-1").translate(self.stands)
-        return [t.id for t in self.model.tokenize(core)] + self.tails[tail]
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = blanks_part_words(path) if by_word is None else by_word
+        self.known = KnownWords(self.tokenizer)
 
     def __call__(self, batch: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each document closed by `end_id`, and the number of ids of each document."""
         batch = pc.fill_null(batch.cast(pa.large_string()), "")
         if not self.by_word:
             found = self.tokenizer.encode_batch_fast(batch.to_pylist(), add_special_tokens=False)
-            each = [x.ids + [end_id] for x in found]
-            return np.array([i for ids in each for i in ids], np.uint32), np.array([len(x) for x in each], np.int64)
-        if len(self.place) > KNOWN_WORDS:
-            self._forget()
+            each = [np.array([*x.ids, end_id], np.uint32) for x in found]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
         split = pc.split_pattern(pc.replace_substring(batch, "\n", " "), " ")
         sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        for word in words:
-            if word not in self.place:
-                ids = self._word(word) if word else []
-                self.place[word] = len(self.first)
-                self.first.append(len(self.flat))
-                self.count.append(len(ids))
-                self.flat.extend(ids)
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
-        at = np.insert(at, np.cumsum(sizes), len(self.first))  # the end id follows the last word of each document
-        first = np.append(np.array(self.first, np.int64), len(self.flat))
-        n = np.append(np.array(self.count, np.int64), 1)[at]
-        flat = np.append(np.array(self.flat, np.uint32), np.uint32(end_id))
-        stop = np.cumsum(n)
-        ids = flat[np.repeat(first[at] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
-        ends = np.append(0, stop)[np.cumsum(sizes + 1)]
-        return ids, np.diff(ends, prepend=0)
+        self.known.learn(words)
+        place = self.known.places(words)[coded.indices.to_numpy()]
+        return closed_texts(*self.known.arrays(), place, sizes, end_id)
 
 
 def id_type(path: str) -> str:
@@ -132,13 +192,14 @@ def id_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = 2, by_word: bool = True) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int = 2, by_word: bool | None = None) -> DataFrame:
     """`doc_id`, `tokens` (ids of type `id_type`, closed by `end_id`) of every document."""
     kind = id_type(path)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path, by_word)
-        for part in slices(batches, limit=8 << 20):
+        key = ("words", path, by_word)
+        encoder = held(key, lambda: WordEncoder(path, by_word))
+        for part in slices(batches, limit=16 << 20, model=key):
             ids, count = encoder(part.column(1), end_id)
             offsets = pa.array(np.append(0, np.cumsum(count)) * np.dtype(kind).itemsize, pa.int32())
             blobs = pa.BinaryArray.from_buffers(
@@ -274,7 +335,7 @@ def read_tokens(manifest: DataFrame, ranking: DataFrame, uri: str) -> DataFrame:
     return rows.join(offsets, "path").select("doc_id", (F.col("offset") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_table(docs: DataFrame, path: str, end_id: int = 2, by_word: bool = True) -> DataFrame:
+def token_table(docs: DataFrame, path: str, end_id: int = 2, by_word: bool | None = None) -> DataFrame:
     """Encode `docs`, write the token files, read them back.
 
     A null text is empty and holds only the end id. An empty table writes no file and returns no row. Repeated ids

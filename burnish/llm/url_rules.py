@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from burnish.llm.common import saved
+from burnish.operators.skew import join_without_hot_tasks
 
 BROADCAST_RULES = 20_000  # mined rules (some MB) that a task may hold whole; more are joined by a shuffle
 DEFAULT = "allow"
@@ -133,7 +134,11 @@ def judge_urls(
     met = met.where(F.size(F.array_except("tokens", "has")) == 0)
     order = F.struct("confidence", "support", (-F.size("tokens")).alias("short"), "rule_id")
     best = met.groupBy("url").agg(F.max_by(F.struct("verdict", "confidence"), order).alias("best"))
-    judged = rows.join(best, "url", "left")
+    # Only urls that no rule decides look for a mined one; a url of very many rows is dealt out.
+    open_rows = rows.where("fit is null and host <> ''")
+    decided = rows.where("not (fit is null and host <> '')").withColumn("best", F.lit(None).cast("struct<verdict:string,confidence:double>"))
+    best = best.withColumnRenamed("url", "met_url")
+    judged = join_without_hot_tasks(open_rows, best, "url", "met_url", "left", spread_by=["page_id"]).unionByName(decided)
     return judged.select(
         "page_id",
         "host",

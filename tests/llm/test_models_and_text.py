@@ -11,17 +11,18 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from burnish.llm import queries
 from burnish.llm import common
 from burnish.llm.common import held, shared_dir, words
 from burnish.llm.language_id import NO_LETTERS, SEGMENT, CrossParser, language_table, sample_texts, suffix_automaton
-from burnish.llm.language_model import model_table
+from burnish.llm.language_model import ORDER, count_pairs, count_words, model_table, pack, pack_counts, summed, unpack_counts
 from burnish.llm.nearest import nearest
 from burnish.llm.personal_data import KINDS, personal_data_table, redacted
 from burnish.llm.piece_encoding import UnitEncoder, decode_pieces, encode_pieces
 from burnish.llm.queries import tokenizer_file
-from burnish.llm.token_files import WordEncoder, decode, encode, token_table
+from burnish.llm.token_files import WordEncoder, blanks_part_words, decode, encode, token_table
 from burnish.llm.url_rules import RULES, judge_urls
 from tests.conftest import TESTDATA
 
@@ -67,7 +68,8 @@ def test_words_encode_as_whole_texts():
 
     path, texts = tokenizer_file("word_bpe_49k.json"), nasty_texts(3000)
     whole = Tokenizer.from_file(path)
-    ids, count = WordEncoder(path, True)(pa.array(texts), 2)
+    assert WordEncoder(path).by_word
+    ids, count = WordEncoder(path)(pa.array(texts), 2)
     for text, stop, n in zip(texts, np.cumsum(count), count):
         assert ids[stop - n : stop].tolist() == whole.encode(text, add_special_tokens=False).ids + [2]
 
@@ -111,6 +113,15 @@ def test_pieces_are_those_of_the_library():
     assert own.decode_all(ids, bounds) == [own.decode(x) for x in each] == [model.decode(x) for x in each]
 
 
+def test_only_files_that_part_words_are_read_by_word():
+    assert blanks_part_words(tokenizer_file("word_bpe_49k.json"))
+    assert not blanks_part_words(tokenizer_file("byte_bpe_50k.json"))
+    texts = pa.array(nasty_texts(200))
+    ids, count = WordEncoder(tokenizer_file("byte_bpe_50k.json"))(texts, 2)
+    plain = [x.ids for x in Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json")).encode_batch(texts.to_pylist(), add_special_tokens=False)]
+    assert ids.tolist() == [i for x in plain for i in [*x, 2]] and count.tolist() == [len(x) + 1 for x in plain]
+
+
 def test_known_units_are_bounded(monkeypatch):
     monkeypatch.setattr("burnish.llm.piece_encoding.KNOWN_BYTES", 2000)
     own = UnitEncoder(tokenizer_file("piece_bpe_32k.model"))
@@ -233,19 +244,19 @@ def test_language_edges(spark):
 # Language model
 
 
-def plain_model(rows):
+def plain_model(rows, order):
     def split(text):
         return (text or "").encode().lower().split()
 
+    def grams(text, n):
+        w = ["<s>"] * (n - 1) + [*split(text), "</s>"]
+        return zip(*(w[k:] for k in range(n)))
+
     train = [t for k, t in rows if k is None or zlib.crc32(str(k).encode()) % 5 != 1]
-    count, pairs = Counter(), Counter()
-    for text in train:
-        w = [*split(text), "</s>"]
-        count.update(w)
-        pairs.update(zip(["<s>", *w], w))
-    ends, follow = Counter(b for _, b in pairs), defaultdict(list)
-    for (a, _), n in pairs.items():
-        follow[a].append(n)
+    count = Counter(g[0] for t in train for g in grams(t, 1))
+    levels = {order: Counter(g for t in train for g in grams(t, order))}
+    for n in range(order - 1, 0, -1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
 
     def discounts(values):
         n = [sum(v == k for v in values) for k in range(1, 5)]
@@ -253,25 +264,35 @@ def plain_model(rows):
         d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0), k) if n[k - 1] else 0 for k in (1, 2, 3)]
         return [0, *(x or 0.5 for x in d)]
 
-    d2, d1 = discounts([*pairs.values()]), discounts([*ends.values()])
-    total, types, known = sum(count.values()), len(count), len(pairs)
-    floor = (sum(d1[min(v, 3)] for v in ends.values()) / known if known else 1) / (types + 1)
+    d = {n: discounts([*c.values()]) for n, c in levels.items()}
+    follow = {n: defaultdict(list) for n in levels}
+    for n, c in levels.items():
+        for g, k in c.items():
+            follow[n][g[:-1]].append(k)
+    total, types, pairs = sum(count.values()), len(count), sum(levels[1].values())
+    floor = (sum(d[1][min(v, 3)] for v in levels[1].values()) / pairs if pairs else 1) / (types + 1)
+
+    def prob(g):
+        n = len(g)
+        if n == 1:
+            return max(levels[1][g] - d[1][min(levels[1][g], 3)], 0) / max(pairs, 1) + floor
+        low, f = prob(g[1:]), follow[n].get(g[:-1])
+        if not f:
+            return low
+        return (max(levels[n][g] - d[n][min(levels[n][g], 3)], 0) + sum(d[n][min(v, 3)] for v in f) * low) / sum(f)
+
     out = []
     for doc_id, text in rows:
-        w, score = [*split(text), "</s>"], 0.0
-        for a, b in zip(["<s>", *w], w):
-            low, f = max(ends[b] - d1[min(ends[b], 3)], 0) / max(known, 1) + floor, follow.get(a)
-            high = max(pairs[a, b] - d2[min(pairs[a, b], 3)], 0)
-            score += math.log10((high + sum(d2[min(v, 3)] for v in f) * low) / sum(f) if f else low)
+        w = [*split(text), "</s>"]
         base = sum(math.log10((count[x] + 0.5) / (total + 0.5 * (types + 1))) for x in w)
-        out.append((doc_id, len(w), sum(count[x] > 0 for x in w), total, base, score))
+        out.append((doc_id, len(w), sum(count[x] > 0 for x in w), total, base, sum(math.log10(prob(g)) for g in grams(text, order))))
     return sorted(out, key=str)
 
 
-def check_model(found, rows):
+def check_model(found, rows, order=ORDER):
     found = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found), key=str)
     assert len(found) == len(rows)
-    for a, b in zip(found, plain_model(rows)):
+    for a, b in zip(found, plain_model(rows, order)):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:])
 
 
@@ -279,13 +300,43 @@ def test_model_query(spark):
     check_model(queries.QUERIES["op9_language_model"](spark, f"{TESTDATA}/sf0.001").collect(), rows_of("sf0.001"))
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_model_of_either_order(spark, order):
+    rng = random.Random(order)
+    rows = [(k, " ".join(rng.choice("a a a b b C d e f ÉÉ".split()) for _ in range(rng.randint(0, 12)))) for k in range(80)]
+    rows += [(k, "x y z x y") for k in range(7)] + [(9, "a " * 3000)]
+    check_model(model_table(spark.createDataFrame(rows, SCHEMA), order=order).collect(), rows, order)
+
+
 def test_model_edges(spark):
     df = spark.createDataFrame([(*r, 1.0) for r in EDGES], SCHEMA + ", score double")
-    check_model(model_table(df).collect(), EDGES)
-    check_model(model_table(df.where("doc_id = 2")).collect(), EDGES[3:])
+    for order in (2, 3):
+        check_model(model_table(df, order=order).collect(), EDGES, order)
+        check_model(model_table(df.where("doc_id = 2"), order=order).collect(), EDGES[3:], order)
+    with pytest.raises(ValueError):
+        model_table(df, order=4)
     assert model_table(df.where("false")).count() == 0
 
 
+def test_counts_of_any_size():
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(1, 2**k, n).astype(np.uint64) for k, n in ((3, 100), (40, 50), (1, 0), (63, 9), (8, 300))]
+    blobs = [pack_counts(p) for p in parts]
+    assert unpack_counts(blobs, [len(p) for p in parts]).tolist() == np.concatenate(parts).tolist()
+    key = np.array([5, 5, 9], np.uint64)
+    (_,), (total,) = summed([key], [np.array([3 * 10**9, 3 * 10**9, 1], np.uint64)])
+    assert total.tolist() == [6 * 10**9, 1]
+
+
+def test_pairs_beyond_32_bits(spark, tmp_path):
+    word, context = pack(np.array([7, 8], np.uint64)), pack(np.array([1, 7], np.uint64))
+    rows = [(0, context, word, pack_counts(np.array([3 * 10**9, 2], np.uint64)))] * 2
+    blobs = spark.createDataFrame(rows, "bucket long, context binary, word binary, count binary")
+    folder = str(tmp_path)
+    parts = count_pairs(blobs, 8, folder)
+    assert count_words(parts, folder).groupBy().sum("tokens", "types").first()[:] == (6 * 10**9 + 4, 2)
+
+
 # Nearest neighbours
 
 
@@ -306,15 +357,31 @@ def test_nearest_recall_and_scores(spark):
     assert hits / (20 * len(found)) >= 0.9
 
 
-def test_nearest_edges(spark):
-    rows = [(k, [1.0, float(k % 3)]) for k in range(30)] + [(30, None), (31, [0.0, 0.0]), (32, [1.0, None])]
+def plain_nearest(rows, k=20, every=20):
+    good = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = []
+    for n, (i, q) in enumerate(good):
+        if i % every == 0:
+            near = [(-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(good) if m != n and len(v) == len(q)]
+            out += [(i, rank, j, -s) for rank, (s, j) in enumerate(sorted(near)[:k], 1)]
+    return Counter(out)
+
+
+@pytest.mark.parametrize("group", [4096, 7])
+def test_nearest_edges(spark, monkeypatch, group):
+    monkeypatch.setattr("burnish.llm.nearest.GROUP_ROWS", group)
+    monkeypatch.setattr("burnish.llm.nearest.LIST_ROWS", 10 if group < 10 else 400)
+    monkeypatch.setattr("burnish.llm.nearest.GROUP_QUERIES", 1 if group < 10 else 1 << 16)
+    monkeypatch.setattr("burnish.llm.nearest.RECALL", 1.0)
+    rows = [(k, [1.0, float(k % 3)]) for k in range(30)] + [(30, None), (31, [0.0, 0.0]), (32, [1.0, None]), (1, [50.0, 50.0])]
     rows += [(33, [float("nan"), 1.0]), (34, [1.0]), (None, [1.0, 1.0]), (0, [1.0, 0.0]), (40, [float("inf"), 1.0])]
+    rows += [(60, [2.0]), (80, [3.0]), (1, [5.0]), (100, [1.0, 2.0, 3.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int")
-    found = nearest(df).orderBy("query_id", "rank").collect()
-    assert {r.query_id for r in found} == {0, 20}
-    two = [r.vec_id for r in found if r.query_id == 20]
-    assert two == [*[k for k in range(30) if k % 3 == 2 and k != 20], *[k for k in range(30) if k % 3 == 1], 0]
-    assert len(nearest(df.where("vec_id in (0, 1)")).collect()) == 1
+    assert Counter(tuple(r) for r in nearest(df).collect()) == plain_nearest(rows)
+    two = [(1, [1.0, 2.0]), (1, [50.0, 50.0]), (2, [5.0, 0.0])]
+    found = nearest(spark.createDataFrame(two, "vec_id long, embedding array<double>"), every=1).orderBy("rank", "score").collect()
+    assert (1, 1, 1, 150.0) in [tuple(r) for r in found] and len(found) == 6
+    assert len(nearest(df.where("vec_id in (2, 20)")).collect()) == 1
     assert nearest(df.where("false")).count() == 0
 
 
