@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from burnish.functions.text import named
 from burnish.llm.common import saved, workers_find_this
 from burnish.llm.decontaminate import decontaminated
 from burnish.llm.jaccard_join import one_of_each
@@ -16,14 +17,17 @@ from burnish.llm.personal_data import redacted
 from burnish.llm.piece_encoding import decode_pieces, encode_pieces
 from burnish.llm.queries import tokenizer_file
 
+#: Columns that stages add and drop again.
+LANGUAGE, LANGUAGE_SCORE, DECODED = "__language", "__language_score", "__decoded"
+
 #: The stages hold models that SQL doesn't have; tests compare them with plain versions.
 ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of no language (null or without a letter) go."""
-    known = identify_language(docs, sample_texts(docs), lang="_language", score="_language_score")
-    return known.where(F.col("_language") != UNDECIDED).select(*docs.columns)
+    known = identify_language(docs, sample_texts(docs), lang=LANGUAGE, score=LANGUAGE_SCORE)
+    return known.where(F.col(LANGUAGE) != UNDECIDED).select(*map(named, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +48,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of `docs` with the piece ids of each text, their number, and whether they decode to the text."""
     path = tokenizer_file("piece_bpe_32k.model")
-    encoded = decode_pieces(encode_pieces(docs, path), path, out="_decoded")
+    encoded = decode_pieces(encode_pieces(docs, path), path, out=DECODED)
     return encoded.select(
-        *[c for c in encoded.columns if c != "_decoded"],
+        *[named(c) for c in encoded.columns if c != DECODED],
         F.size("piece_ids").cast("long").alias("n_pieces"),
-        (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        (F.col(DECODED) == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
 
 
