@@ -31,6 +31,11 @@ WHOLE = (
 )
 
 
+def plain_letters(word: str) -> str | None:
+    """Letters with or without a blank in front are one pre-token."""
+    return word if word.removeprefix(" ").isalpha() else None
+
+
 class ByteEncoder:
     """Ids of whole texts by a byte-level tokenizer that splits texts in front of single blanks and around line feeds.
 
@@ -45,7 +50,7 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # The empty word stands for a line feed.
-        self.known = KnownWords(self.tokenizer, feed)
+        self.known = KnownWords(self.tokenizer, plain_letters, feed)
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text closed by `end_id`, and the number of ids of each text."""
@@ -80,7 +85,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held(("bytes", path), lambda: ByteEncoder(path))
-        for part in slices(batches, limit=16 << 20, model=("bytes", path)):
+        for part in slices(batches, limit=8 << 20, model=("bytes", path)):
             ids, count = encoder(part.column(1), end_id)
             many = -(-count // capacity)
             of = np.repeat(np.arange(len(count)), many)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from burnish.llm.common import held, saved, shared_dir, slices
 
 MAGIC = b"TOKSVB01"
 FILE_TOKENS = 4 << 20  # a file closes after the document that reaches this
-KNOWN_BYTES = 128 << 20  # words and ids that a worker keeps for its tasks; then it starts over
+KNOWN_BYTES = 64 << 20  # words and ids that a worker keeps for its tasks; then it starts over
 
 # For each control byte: the lengths of its four ids, and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -80,6 +81,12 @@ def blanks_part_words(path: str) -> bool:
 
 
 MARKS = ".,;:!?"
+# Letters that have one lower-case form and no combining marks.
+LETTERS = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u024F]+")
+
+
+def plain_lower(word: str) -> str | None:
+    return word.lower() if LETTERS.fullmatch(word) else None
 
 
 class KnownWords:
@@ -89,8 +96,16 @@ class KnownWords:
     parts, so that the same word with and without marks is encoded once.
     """
 
-    def __init__(self, tokenizer, empty: Sequence[int] = ()):
-        self.tokenizer, self.empty = tokenizer, np.array(empty, np.uint32)
+    def __init__(self, tokenizer, plain: Callable[[str], str | None], empty: Sequence[int] = ()):
+        """`plain` gives the form in which the tokenizer's model gets a word that it gets whole, else null."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.model, self.plain = tokenizer, tokenizer.model, plain
+        self.empty = np.array(empty, np.uint32)
+        # The characters that stand for the bytes 0 to 255 in a byte-level vocabulary: those printable as they are, in
+        # order, and from U+0100 on one for each other byte.
+        alphabet = set(ByteLevel.alphabet())
+        self.stands = {b: 256 + k for k, b in enumerate(b for b in range(256) if chr(b) not in alphabet)}
         self.forget()
 
     def forget(self) -> None:
@@ -105,10 +120,17 @@ class KnownWords:
         return flat, first
 
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words in a row, and where those of each word end."""
-        each = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        end = np.cumsum([*map(len, each)])
-        return np.fromiter(chain.from_iterable(each), np.uint32, int(end[-1])), end
+        """The ids of words in a row, and where those of each word end. A plain word goes straight to the model, any
+        other through the whole tokenizer."""
+        out, end, tokenize, plain = array("I"), [], self.model.tokenize, self.plain
+        for word in words:
+            form = plain(word)
+            if form is None:
+                out.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            else:
+                out.extend([t.id for t in tokenize(form.encode().decode("latin-1").translate(self.stands))])
+            end.append(len(out))
+        return np.array(out, np.uint32), np.array(end, np.int64)
 
     def _add(self, words: list[str], ids: np.ndarray, end: np.ndarray) -> None:
         self.ids.append(ids)
@@ -167,7 +189,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = blanks_part_words(path) if by_word is None else by_word
-        self.known = KnownWords(self.tokenizer)
+        self.known = KnownWords(self.tokenizer, plain_lower)
 
     def __call__(self, batch: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each document closed by `end_id`, and the number of ids of each document."""
@@ -199,7 +221,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, by_word: bool | None
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = ("words", path, by_word)
         encoder = held(key, lambda: WordEncoder(path, by_word))
-        for part in slices(batches, limit=16 << 20, model=key):
+        for part in slices(batches, limit=8 << 20, model=key):
             ids, count = encoder(part.column(1), end_id)
             offsets = pa.array(np.append(0, np.cumsum(count)) * np.dtype(kind).itemsize, pa.int32())
             blobs = pa.BinaryArray.from_buffers(
