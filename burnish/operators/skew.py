@@ -54,6 +54,7 @@ def join_without_hot_tasks(
     share: float = 1e-5,
     min_rows: int = 1_000_000,
     spread_by: Sequence[str] | None = None,
+    keys_in: DataFrame | None = None,
 ) -> DataFrame:
     """`left` joined to `right` on one key, `how` being `inner`, `left` or `left_anti`.
 
@@ -67,15 +68,16 @@ def join_without_hot_tasks(
     lie in one partition, equal rows as far as they lie in several, and a lost task deals the same way
     when it runs again. Name the columns that tell rows apart if the query doesn't read the others.
 
-    Finding the hot keys reads the key column of `left` once more, so `left` must give the same rows
-    each time it is read.
+    Finding the hot keys reads the key column of `left` once more, so `left` must give the same rows each time it is
+    read. `keys_in` names another table to find them in: where `left` is itself the result of such joins, the table
+    they began with, so that a chain of them doesn't read it over and over.
     """
     right = right.withColumnRenamed(right_key, RIGHT_KEY)
     same_key = named(left_key) == F.col(RIGHT_KEY)
     if fits_broadcast(right):
         return left.join(right, same_key, how).drop(RIGHT_KEY)
 
-    hot = F.broadcast(hot_keys(left, left_key, share, min_rows))
+    hot = F.broadcast(hot_keys(left if keys_in is None else keys_in, left_key, share, min_rows))
     slices = F.coalesce(F.col(SLICES), F.lit(1))
     dealt = (
         left.join(hot, named(left_key).eqNullSafe(F.col(HOT)), "left")

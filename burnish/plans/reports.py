@@ -13,10 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from burnish.functions.measures import amount_parts, exact_mean, mean_of, merged_parts, percent, total_of
+from burnish.functions.measures import amount_parts, mean_of, merged_parts, percent, total_of
 from burnish.functions.text import named
 from burnish.operators.dedup import duplicate_count
-from burnish.operators.integrity import Reference, assert_unique, integrity_report
+from burnish.operators.integrity import Reference, enrich, integrity_report
 from burnish.operators.standardize import label_missing
 from burnish.rules import FLAG_MISSING, FLAG_OK, FLAG_SENTINEL, UNMAPPED_LABEL
 
@@ -99,48 +99,99 @@ def _as_rows(one_row: DataFrame, cols: Sequence[str], name: str, value: str) ->
 # Customers and materials
 
 
-def customer_quality_summary(customers: DataFrame) -> DataFrame:
+def customers_summary(customers: DataFrame, copies: str = "source_rows") -> DataFrame:
+    """Customers per missing email and number of devices, as `row_count`, and the raw rows behind them.
+
+    A table of a few dozen rows that the customer reports are made of.
+    """
+    return customers.groupBy("email_missing", "device_count").agg(
+        F.count("*").alias("row_count"), F.sum(named(copies)).alias(copies)
+    )
+
+
+def customer_quality_summary(customers: DataFrame, weight: str | None = None) -> DataFrame:
     """Customers, missing emails, customers with several devices, devices per customer."""
-    missing = F.count_if("email_missing")
-    devices = F.try_divide(F.sum("device_count").cast("decimal(20,0)"), F.count("device_count"))
+    missing = _rows_if(F.col("email_missing"), weight)
+    known = _rows_if(F.col("device_count").isNotNull(), weight)
+    held = F.sum(F.col("device_count").cast("decimal(20,0)") * (named(weight) if weight else F.lit(1)).cast("decimal(18,0)"))
     return customers.agg(
-        F.count("*").alias("total_customers"),
+        _rows(weight).alias("total_customers"),
         missing.alias("missing_email_count"),
-        percent(missing, F.count("*")).alias("missing_email_pct"),
-        F.count_if(F.col("device_count") > 1).alias("multi_device_customers"),
-        F.round(devices, 2).cast("double").alias("avg_devices_per_customer"),
+        percent(missing, _rows(weight)).alias("missing_email_pct"),
+        _rows_if(F.col("device_count") > 1, weight).alias("multi_device_customers"),
+        F.round(F.try_divide(held, known.cast("decimal(20,0)")), 2).cast("double").alias("avg_devices_per_customer"),
     )
 
 
-def material_quality_by_category(materials: DataFrame, label: str = UNMAPPED_LABEL) -> DataFrame:
+def materials_summary(materials: DataFrame) -> DataFrame:
+    """Products per category and defect, as `row_count`, with the parts of their prices as `price_parts`.
+
+    Parts of groups can be merged, so every material report is made of this table, which has a row per category and
+    combination of defects.
+    """
+    return _prices(materials, "category", "category_missing", "price_invalid")
+
+
+def _prices(materials: DataFrame, *by: str) -> DataFrame:
+    parts = amount_parts(F.col("price_clean")).alias("price_parts")
+    return materials.groupBy(*by).agg(F.count("*").alias("row_count"), parts)
+
+
+def material_quality_by_category(
+    materials: DataFrame, label: str = UNMAPPED_LABEL, weight: str | None = None
+) -> DataFrame:
     """Per category: products, invalid prices, mean valid price and mean of all prices.
 
-    `avg_price` includes parsed prices that are flagged invalid, such as negative filler values.
+    `avg_price` includes parsed prices that are flagged invalid, such as negative filler values. With `weight`,
+    `materials` is the `materials_summary`.
     """
+    summary = materials if weight else _prices(materials, "category", "price_invalid")
+    rows, parts = weight or "row_count", F.col("price_parts")
+    valid = F.when(~F.col("price_invalid"), parts)
     return (
-        label_missing(materials, "category", label)
+        label_missing(summary, "category", label)
         .groupBy("category")
         .agg(
-            F.count("*").alias("product_count"),
-            F.count_if("price_invalid").alias("invalid_price_count"),
-            exact_mean(F.when(~F.col("price_invalid"), F.col("price_clean"))).alias("avg_valid_price"),
-            exact_mean(F.col("price_clean")).alias("avg_price"),
+            F.sum(rows).alias("product_count"),
+            _rows_if(F.col("price_invalid"), rows).alias("invalid_price_count"),
+            mean_of(merged_parts(valid)).alias("avg_valid_price"),
+            mean_of(merged_parts(parts)).alias("avg_price"),
         )
         .orderBy(F.desc("product_count"), "category")
     )
 
 
-def material_clean_rate(materials: DataFrame) -> DataFrame:
+def material_clean_rate(materials: DataFrame, weight: str | None = None) -> DataFrame:
     """Products, unmapped categories, invalid prices and the share of products with neither."""
-    defects = F.count_if(F.col("category_missing") | F.col("price_invalid"))
+    defects = _rows_if(F.col("category_missing") | F.col("price_invalid"), weight)
     return materials.agg(
-        F.count("*").alias("total_products"),
-        F.count_if("category_missing").alias("category_unmapped_count"),
-        F.count_if("price_invalid").alias("price_invalid_count"),
-        percent(F.count("*") - defects, F.count("*")).alias("clean_record_pct"),
+        _rows(weight).alias("total_products"),
+        _rows_if(F.col("category_missing"), weight).alias("category_unmapped_count"),
+        _rows_if(F.col("price_invalid"), weight).alias("price_invalid_count"),
+        percent(_rows(weight) - defects, _rows(weight)).alias("clean_record_pct"),
     )
 
 
+def master_keys(df: DataFrame, key: str, copies: str = "copies", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per non-null key: how many rows have it, and any one value of the columns `keep`.
+
+    What checks of keys and joins to them need of a master table; read once.
+    """
+    values = [F.any_value(named(c)).alias(c) for c in keep]
+    return df.where(named(key).isNotNull()).groupBy(named(key)).agg(F.count("*").alias(copies), *values)
+
+
+def repeated_keys(tables: Sequence[tuple[str, DataFrame]], copies: str = "copies") -> DataFrame:
+    """Per `(name, master_keys)`: `row_count`, `key_count` and `duplicate_count`."""
+    rows = F.coalesce(F.sum(named(copies)), F.lit(0))
+    each = [
+        keys.agg(rows.alias("row_count"), F.count("*").alias("key_count"), (rows - F.count("*")).alias("duplicate_count"))
+        .select(F.lit(name).alias("table_name"), "*")
+        for name, keys in tables
+    ]
+    return reduce(DataFrame.unionByName, each).orderBy("table_name")
+
+
 # Orders
 
 
@@ -211,13 +262,11 @@ def revenue_by_category(
     if statuses is not None:
         paid = paid.where(F.col("status_clean").isin(list(statuses)))
     products = materials.select(named(key), "category")
-    products = assert_unique(products, key) if require_unique else products
     measures = (F.count("order_id").alias("order_count"), amount_parts(F.col("order_amount_clean")).alias("parts"))
 
+    per_product = paid.groupBy(named(key)).agg(*measures)
     per_category = (
-        paid.groupBy(named(key))
-        .agg(*measures)
-        .join(products, key)
+        enrich(per_product, products, key, require_unique=require_unique)
         .groupBy("category")
         .agg(F.sum("order_count").alias("order_count"), merged_parts(F.col("parts")).alias("parts"))
     )
@@ -233,15 +282,16 @@ def revenue_by_category(
 # Reconciliation
 
 
+def order_references(customers: DataFrame, materials: DataFrame) -> list[Reference]:
+    return [
+        Reference(customers, "customer_id", "customer_id", "orphaned_customer_refs"),
+        Reference(materials, "product_id", "product_id", "orphaned_product_refs"),
+    ]
+
+
 def order_integrity(orders: DataFrame, customers: DataFrame, materials: DataFrame) -> DataFrame:
     """Orders that point to no customer and orders that point to no material."""
-    return integrity_report(
-        orders,
-        [
-            Reference(customers, "customer_id", "customer_id", "orphaned_customer_refs"),
-            Reference(materials, "product_id", "product_id", "orphaned_product_refs"),
-        ],
-    )
+    return integrity_report(orders, order_references(customers, materials))
 
 
 def reconciliation_summary(
@@ -250,25 +300,26 @@ def reconciliation_summary(
     orders: DataFrame,
     copies: str = "source_rows",
     weight: str | None = None,
+    master_weight: str | None = None,
 ) -> DataFrame:
     """`(table_name, issue_type, record_count)` for the issues of all three tables, one scan each.
 
-    Removed duplicates follow from `copies`, the number of raw rows behind each customer. `orders` may
-    be the `orders_summary` with `weight` as its count column.
+    Removed duplicates follow from `copies`, the number of raw rows behind each customer. `orders` may be the
+    `orders_summary` with `weight` as its count column, and the masters their summaries with `master_weight`.
     """
     per_table: Mapping[str, tuple[DataFrame, Mapping[str, Column]]] = {
         "customer_master": (
             customers,
             {
-                "duplicate_ids_removed": F.coalesce(F.sum(named(copies)), F.lit(0)) - F.count("*"),
-                "missing_email": F.count_if("email_missing"),
+                "duplicate_ids_removed": F.coalesce(F.sum(named(copies)), F.lit(0)) - _rows(master_weight),
+                "missing_email": _rows_if(F.col("email_missing"), master_weight),
             },
         ),
         "material_master": (
             materials,
             {
-                "category_unmapped": F.count_if("category_missing"),
-                "invalid_price": F.count_if("price_invalid"),
+                "category_unmapped": _rows_if(F.col("category_missing"), master_weight),
+                "invalid_price": _rows_if(F.col("price_invalid"), master_weight),
             },
         ),
         "orders_fact": (
@@ -286,3 +337,42 @@ def reconciliation_summary(
         rows = _as_rows(counts, list(issues), "issue_type", "record_count")
         parts.append(rows.select(F.lit(table).alias("table_name"), "issue_type", "record_count"))
     return reduce(DataFrame.unionByName, parts).orderBy("table_name", "issue_type")
+
+
+# What the load jobs counted while they wrote
+
+
+def _pivoted(metrics: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """One row per table that has all of `names`: metric to column."""
+    columns = [F.max(F.when(F.col("metric") == m, F.col("value"))).alias(c) for m, c in names.items()]
+    return metrics.groupBy("table_name").agg(*columns).where(F.col(next(iter(names.values()))).isNotNull()).orderBy("table_name")
+
+
+def loaded_rows(metrics: DataFrame) -> DataFrame:
+    """`row_reconciliation` from `load_metrics`: no table is read again."""
+    counts = _pivoted(metrics, {"raw_rows": "raw_count", "clean_rows": "clean_count"})
+    return counts.withColumn("removed_count", F.col("raw_count") - F.col("clean_count"))
+
+
+def loaded_unmapped(metrics: DataFrame) -> DataFrame:
+    """`unmapped_counts` of all loaded tables: `table_name`, `column_name`, `unmapped_count`."""
+    name = F.regexp_extract("metric", "^unmapped:(.*)$", 1)
+    rows = metrics.where(F.col("metric").startswith("unmapped:"))
+    return rows.select("table_name", name.alias("column_name"), F.col("value").alias("unmapped_count")).orderBy(
+        "table_name", "column_name"
+    )
+
+
+def loaded_dates(metrics: DataFrame) -> DataFrame:
+    """`parse_success` from `load_metrics`."""
+    names = {"raw_rows": "total_rows", "dates": "raw_count", "parsed_dates": "parsed_count", "unparsed_dates": "unparsed_count"}
+    found = _pivoted(metrics, names).where(F.col("raw_count").isNotNull())
+    parsed = percent(F.col("parsed_count"), F.col("total_rows")).alias("parsed_pct")
+    return found.select("total_rows", "raw_count", "parsed_count", parsed, "unparsed_count")
+
+
+def loaded_orphans(metrics: DataFrame) -> DataFrame:
+    """`order_integrity` as it was when the orders were loaded: `check_name`, `violation_count`."""
+    name = F.regexp_extract("metric", "^orphans:(.*)$", 1)
+    rows = metrics.where(F.col("metric").startswith("orphans:"))
+    return rows.select(name.alias("check_name"), F.col("value").alias("violation_count")).orderBy("check_name")

@@ -19,7 +19,7 @@ from burnish.functions import exact_total
 from burnish.operators.integrity import Reference
 from burnish.rules import CATEGORY_TERMS, PAYMENT_RULES, STATUS_RULES, UNMAPPED_LABEL
 from burnish.session import tune
-from burnish.sources import load_table, read_raw, save_table, write_report
+from burnish.sources import current_reports, load_table, read_raw, save_table, stored, write_report
 from checks.dirty import raw_customers, raw_materials, raw_orders, table
 from checks.scratch import scratch_dir
 
@@ -67,7 +67,9 @@ def roundtrip_raw_csv(spark, sf_dir):
 def roundtrip_table(spark, sf_dir):
     db = f"roundtrip_{uuid.uuid4().hex}"
     save_table(orders(spark, sf_dir), db, "orders_fact", location=scratch_dir(spark))
-    return dates_as_text(load_table(spark, db, "orders_fact"))
+    rows = stored(dates_as_text(load_table(spark, db, "orders_fact")))
+    spark.sql(f"DROP DATABASE {db} CASCADE")
+    return rows
 
 
 @query
@@ -246,6 +248,23 @@ def enriched_orders(spark, sf_dir):
     return op.enrich(orders(spark, sf_dir), materials(spark, sf_dir), "product_id").select(*ENRICHED)
 
 
+@query
+def marked_orders(spark, sf_dir):
+    """Orders with a mark for each unknown key, null keys among them."""
+    facts = raw_orders(spark, sf_dir).select("order_id", "customer_id", "product_id")
+    return op.mark_orphans(facts, plans.order_references(raw_customers(spark, sf_dir), raw_materials(spark, sf_dir)))
+
+
+@query
+def enriched_used_keys(spark, sf_dir):
+    """Materials with a second row for the products that only odd orders use: even orders don't meet it."""
+    facts = orders(spark, sf_dir).select("order_id", "product_id")
+    even = F.col("order_id").cast("long") % 2 == 0
+    known = materials(spark, sf_dir).select("product_id", "category")
+    unused = known.join(facts.where(even).select("product_id"), "product_id", "left_anti")
+    return op.enrich(facts.where(even), known.unionByName(unused), "product_id")
+
+
 # Reports
 
 
@@ -374,6 +393,27 @@ def top_order_values(spark, sf_dir):
     return op.top_values(raw_orders(spark, sf_dir), ORDER_PROFILE, 5)
 
 
+@query
+def top_order_values_many(spark, sf_dir):
+    """More values than one task should rank."""
+    return op.top_values(raw_orders(spark, sf_dir), ORDER_PROFILE, 5000)
+
+
+@query
+def profile_values(spark, sf_dir):
+    """Values of several types, counted as values: instants around the end of summer time, decimals, bytes, days."""
+    instant = F.timestamp_seconds(F.lit(1793493000) + F.col("o_orderkey") % 180 * 60)
+    day = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate").cast("date"))
+    columns = {
+        "instant": instant,
+        "price": F.col("o_totalprice").cast("decimal(12,2)"),
+        "bytes": F.unhex(F.lpad(F.hex(F.col("o_custkey") % 300), 8, "F")),
+        "day": day,
+    }
+    values = table(spark, sf_dir, "orders").select(*(c.alias(name) for name, c in columns.items()))
+    return op.profile_columns(values, list(columns))
+
+
 @query
 def profile_payment(spark, sf_dir):
     return op.profile_column(raw_orders(spark, sf_dir), "payment_method", 20)
@@ -413,9 +453,8 @@ def report_cells(spark: SparkSession, path: str, name: str, schema: T.StructType
     return cell.select("report", "row_number", "cell.*")
 
 
-@query
-def quality_reports(spark, sf_dir):
-    """Raw CSV files to clean tables to report files, read back."""
+def loaded(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Raw CSV files loaded into the tables of a new database: its name, and the scratch folder around it."""
     path, db = scratch_dir(spark), f"quality_{uuid.uuid4().hex}"
     spark.sql(f"CREATE DATABASE {db} LOCATION '{path}/tables'")
     raw = {
@@ -428,6 +467,24 @@ def quality_reports(spark, sf_dir):
     plans.load_customers(spark, f"{path}/raw/customers", db, ["seq"], "device_ids", raw["customers"].columns)
     plans.load_materials(spark, f"{path}/raw/materials", db, raw["materials"].columns)
     plans.load_orders(spark, f"{path}/raw/orders", db, raw["orders"].columns)
-    written = plans.quality_reports(spark, db, f"{path}/reports")
-    cells = [report_cells(spark, f"{path}/reports", name, df.schema) for name, df in written.items()]
+    return db, path
+
+
+@query
+def load_metrics(spark, sf_dir):
+    """What the three load jobs counted while they wrote, orphans among it."""
+    db, _ = loaded(spark, sf_dir)
+    metrics = stored(load_table(spark, db, "load_metrics"))
+    spark.sql(f"DROP DATABASE {db} CASCADE")
+    return metrics
+
+
+@query
+def quality_reports(spark, sf_dir):
+    """Raw CSV files to clean tables to a published set of report files, read back."""
+    db, path = loaded(spark, sf_dir)
+    plans.quality_reports(spark, db, f"{path}/reports")
+    spark.sql(f"DROP DATABASE {db} CASCADE")
+    written = current_reports(spark, f"{path}/reports")
+    cells = [report_cells(spark, written.folder, name, written.read(spark, name).schema) for name in written.reports]
     return reduce(DataFrame.unionByName, cells)

@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -49,6 +51,44 @@ def test_enrich_refuses_a_repeated_key(spark, join_mode):
     assert bag(op.enrich(fact, dim, "id", require_unique=False)) == [(1, "a", "x"), (1, "a", "y")]
 
 
+def test_only_used_keys_must_be_unique(spark, join_mode):
+    fact = spark.createDataFrame([(1, "a"), (None, "b")], "id int, v string")
+    dim = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (None, "n"), (None, "m")], "id int, w string")
+    assert bag(op.enrich(fact, dim, "id")) == [(1, "a", "x")]
+    with pytest.raises(PySparkException, match="id is not unique: 2"):
+        op.enrich(fact.unionByName(spark.createDataFrame([(2, "c")], fact.schema)), dim, "id").collect()
+    # Also when nothing of the dimension is asked for, and when its columns are filtered.
+    with pytest.raises(PySparkException, match="id is not unique: 2"):
+        op.enrich(spark.createDataFrame([(2, "c")], fact.schema), dim, "id").select("v").collect()
+
+
+def test_references_of_several_types(spark, join_mode):
+    fact = spark.createDataFrame(
+        [(1, "1", 5, datetime.date(2023, 5, 1)), (2, None, None, datetime.date(2023, 5, 2)), (None, "x", 7, None)],
+        "a int, b string, c bigint, d date")
+    one = spark.createDataFrame([(1,), (5,), (None,), (1,)], "k bigint")
+    words = spark.createDataFrame([("1",), (None,)], "k string")
+    days = spark.createDataFrame([(datetime.date(2023, 5, 1),)], "k date")
+    checks = [Reference(one, "a", "k", "whole"), Reference(words, "b", "k", "words"), Reference(one, "c", "k", "long"),
+              Reference(days, "d", "k", "days"), Reference(words.limit(0), "b", "k", "nothing")]
+    expected = [("days", 2), ("long", 2), ("nothing", 3), ("whole", 2), ("words", 2)]
+    assert bag(op.integrity_report(fact, checks)) == expected
+    for check in checks:
+        assert bag(op.integrity_report(fact, [check])) == [e for e in expected if e[0] == check.name]
+    marked = op.mark_orphans(fact, checks)
+    assert marked.columns == [*fact.columns, *(c.name for c in checks)]
+    assert sorted((c.name, marked.where(c.name).count()) for c in checks) == expected
+
+
+def test_marks_of_hot_keys(spark, conf, skewed):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    dim = spark.createDataFrame([(0,), (0,), (2,), (None,)], "p int")
+    marked = op.mark_orphans(skewed, [Reference(dim, "k", "p", "unknown")], share=0.01, min_rows=1)
+    expected = skewed.where("k IS NULL OR k NOT IN (0, 2)").count()
+    assert marked.count() == 9000 and marked.where("unknown").count() == expected
+    assert bag(op.integrity_report(skewed, [Reference(dim, "k", "p", "unknown")])) == [("unknown", expected)]
+
+
 @pytest.fixture
 def skewed(spark):
     """A third of the rows have key 0, as many have none, and all rows of key 0 are equal."""

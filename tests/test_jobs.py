@@ -1,11 +1,12 @@
 import os
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from burnish import plans
 from burnish.rules import Synonyms
-from burnish.sources import load_table, read_raw
+from burnish.sources import current_reports, load_table, read_raw
 
 MATERIALS_CSV = os.environ.get("MATERIALS_CSV")
 
@@ -65,10 +66,19 @@ def test_from_files_to_reports(spark, tmp_path):
     assert [tuple(r) for r in plans.order_integrity(orders, customers, materials).collect()] == [
         ("orphaned_customer_refs", 2), ("orphaned_product_refs", 1)]
 
+    metrics = load_table(spark, db, "load_metrics")
+    assert [tuple(r) for r in plans.loaded_rows(metrics).collect()] == [
+        ("customer_master", 3, 2, 1), ("material_master", 3, 3, 0), ("orders_fact", 4, 4, 0)]
+    assert [tuple(r) for r in plans.loaded_unmapped(metrics).collect()] == [
+        ("material_master", "category", 1), ("orders_fact", "payment_method_clean", 1), ("orders_fact", "status_clean", 1)]
+    assert [tuple(r) for r in plans.loaded_dates(metrics).collect()] == [tuple(r) for r in plans.parse_success(orders).collect()]
+    assert [tuple(r) for r in plans.loaded_orphans(metrics).collect()] == [
+        ("orphaned_customer_refs", 2), ("orphaned_product_refs", 1)]
+
     plans.quality_reports(spark, db, str(tmp_path / "reports"))
 
     def report(name):
-        (part,) = (tmp_path / "reports" / name).glob("part-*.csv")
+        (part,) = Path(current_reports(spark, str(tmp_path / "reports")).path(name)).glob("part-*.csv")
         return part.read_text().splitlines()
 
     assert report("customer_quality_summary")[1] == "2,1,50.0,1,1.5"
@@ -108,3 +118,32 @@ def test_a_repeated_key_leaves_the_duplicate_report_alone(spark, tmp_path):
     with pytest.raises(ValueError, match="material_master.*1"):
         plans.quality_reports(spark, db, str(tmp_path / "reports"))
     assert [p.name for p in (tmp_path / "reports").iterdir()] == ["duplicate_keys"]
+
+
+ORDERS = "order_id,customer_id,product_id,payment_method,status,order_date,order_amount\n"
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_orders_are_checked_while_they_are_loaded(spark, conf, tmp_path, threshold):
+    conf("spark.sql.autoBroadcastJoinThreshold", threshold)
+    db = f"marks_{abs(hash(tmp_path))}_{threshold.strip('-')}"
+    lines = [f"o{k},{('c0', 'c1', '', 'gone')[k % 4]},{'p0' if k % 3 else 'p9'},card,success,2023-05-01,1\n" for k in range(600)]
+    (tmp_path / "orders.csv").write_text(ORDERS + "".join(lines))
+    (tmp_path / "empty.csv").write_text(ORDERS)
+    (tmp_path / "customers.csv").write_text(
+        "customer_id,first_name,last_name,email,phone_number,device_id(s)\nc0,a,b,,,\nc0,a,c,,,\nc1,a,b,,,\n,x,y,,,\n")
+    (tmp_path / "materials.csv").write_text("product_id,product_name,category,price\np0,a,toys,1\np0,b,toys,1\n,c,toys,1\n")
+
+    def orphans(file):
+        orders = plans.load_orders(spark, str(tmp_path / file), db)
+        assert not {"orphaned_customer_refs", "orphaned_product_refs"} & set(orders.columns)
+        return orders.count(), {r[0]: r[1] for r in plans.loaded_orphans(load_table(spark, db, "load_metrics")).collect()}
+
+    assert orphans("orders.csv") == (600, {})  # no masters yet
+    plans.load_customers(spark, str(tmp_path / "customers.csv"), db, ["email"])
+    assert orphans("orders.csv") == (600, {"orphaned_customer_refs": 300})
+    plans.load_materials(spark, str(tmp_path / "materials.csv"), db)
+    assert orphans("orders.csv") == (600, {"orphaned_customer_refs": 300, "orphaned_product_refs": 200})
+    assert orphans("empty.csv") == (0, {"orphaned_customer_refs": 0, "orphaned_product_refs": 0})
+    assert {r[0] for r in load_table(spark, db, "load_metrics").select("table_name").distinct().collect()} == {
+        "customer_master", "material_master", "orders_fact"}

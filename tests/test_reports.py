@@ -36,6 +36,29 @@ def test_reports_from_the_summary_equal_reports_from_the_orders(spark, order_tab
         assert rows(report(order_table)) == rows(report(summary, "row_count"))
 
 
+def test_reports_from_the_master_summaries(spark, order_table):
+    people, things = customers(spark, SF), materials(spark, SF)
+    per_person, per_thing = plans.customers_summary(people), plans.materials_summary(things)
+    assert per_person.count() < 20 and per_thing.count() < 40
+    for report, whole, summary in (
+        (plans.customer_quality_summary, people, per_person),
+        (plans.material_quality_by_category, things, per_thing),
+        (plans.material_clean_rate, things, per_thing),
+    ):
+        assert rows(report(whole)) == rows(report(summary, weight="row_count"))
+        assert rows(report(whole.limit(0))) == rows(report(summary.limit(0), weight="row_count"))
+    assert rows(plans.reconciliation_summary(people, things, order_table)) == rows(
+        plans.reconciliation_summary(per_person, per_thing, order_table, master_weight="row_count"))
+
+
+def test_master_keys(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), (None, 3), (None, 3)], "k string, v int")
+    keys = plans.master_keys(df, "k", keep=["v"])
+    assert sorted(rows(keys)) == [("a", 2, 1), ("b", 1, 2)]
+    assert rows(plans.repeated_keys([("x", keys), ("none", keys.limit(0))])) == [("none", 0, 0, 0), ("x", 3, 2, 1)]
+    assert rows(plans.duplicate_keys([("x", df, "k")])) == [("x", 3, 2, 1)]
+
+
 def test_counts_add_up(order_table):
     total = order_table.count()
     assert sum(r[1] for r in rows(plans.payment_distribution(order_table))) == total
@@ -133,3 +156,36 @@ def test_profile(spark):
     assert first[4] == "31-12-2023" and [r[-1] for r in (first, *others)] == [1, 2, 3]
     nothing = spark.createDataFrame([(None,), (None,)], "c string")
     assert rows(op.profile_column(nothing, "c", 3)) == [("c", 2, 2, 0, None, None, None)]
+
+
+def test_profile_by_value(spark, conf):
+    conf("spark.sql.session.timeZone", "Europe/Berlin")
+    df = spark.sql("""SELECT timestamp_seconds(col1) AS t, CAST(col2 AS DECIMAL(10,2)) AS d, unhex(col3) AS b, map('k', col1) AS m,
+        CAST(col4 AS DOUBLE) AS f, array(col2) AS l, struct(col1) AS s
+        FROM VALUES (1698539400, 1.10, 'FF', 'NaN'), (1698543000, 1.10, 'FE', 'NaN'), (1698543000, 2.00, '61', '0'), (NULL, NULL, NULL, '-0')""")
+    cols = ["t", "d", "b", "m", "f", "l", "s"]
+    # 2:30 comes twice on that day, and neither FF nor FE is a text.
+    assert rows(op.profile_columns(df, cols)) == [
+        ("b", 4, 1, 3), ("d", 4, 1, 2), ("f", 4, 0, 2), ("l", 4, 0, 3), ("m", 4, 0, 3), ("s", 4, 0, 3), ("t", 4, 1, 2)]
+    assert rows(op.top_values(df, ["t", "b"], 9)) == [
+        ("b", "FE", 1, 1), ("b", "FF", 1, 2), ("b", "a", 1, 3),
+        ("t", "2023-10-29 02:30:00", 2, 1), ("t", "2023-10-29 02:30:00", 1, 2)]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ranks(spark, conf, parts):
+    conf("spark.sql.shuffle.partitions", str(parts))
+    data = [(k % 3 if k % 10 else None, k * 7919 % 1000, k) for k in range(1000)]
+    df = spark.createDataFrame(data, "g int, x int, `a.b` int").repartition(5)
+    got = {r["a.b"]: r["place"] for r in op.ranked(df, ["g"], [F.desc("x"), "a.b"], "place").collect()}
+    expected = {}
+    for g in (0, 1, 2, None):
+        for place, row in enumerate(sorted((r for r in data if r[0] == g), key=lambda r: (-r[1], r[2])), 1):
+            expected[row[2]] = place
+    assert got == expected
+    best = op.ranked(df, ["g"], [F.desc("x"), "a.b"], "place", top=4)
+    assert best.columns == ["g", "x", "a.b", "place"]
+    assert {r["a.b"]: r["place"] for r in best.collect()} == {k: p for k, p in expected.items() if p <= 4}
+    assert op.ranked(df.where("false"), ["g"], ["x"]).collect() == []
+    everything = op.ranked(df, [], ["a.b"])
+    assert [r["rank"] for r in everything.orderBy("`a.b`").collect()] == list(range(1, 1001))

@@ -4,7 +4,16 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from burnish.sources import load_table, malformed_count, read_raw, save_table, write_report
+from burnish.sources import (
+    current_reports,
+    load_table,
+    malformed_count,
+    publish_reports,
+    read_raw,
+    reports,
+    save_table,
+    write_report,
+)
 
 
 @pytest.fixture
@@ -48,10 +57,92 @@ def test_table_is_replaced(spark, db):
 
 def test_table_place(spark, db, tmp_path):
     save_table(spark.range(20), db, "t", location=str(tmp_path / "bob's tables"))
-    assert (tmp_path / "bob's tables" / "t").is_dir()
+    assert len(list((tmp_path / "bob's tables").glob("t.*/*.parquet"))) > 0
     assert load_table(spark, db, "t").count() == 20
 
 
+def test_a_table_is_replaced_whole_or_not_at_all(spark, db, tmp_path):
+    save_table(spark.range(5), db, "t", location=str(tmp_path / "tables"))
+    before = load_table(spark, db, "t")
+    with pytest.raises(PySparkException):
+        save_table(spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("id")), db, "t")
+    with pytest.raises(PySparkException):
+        save_table(spark.range(3).select(F.raise_error(F.lit("no")).alias("other")), db, "t")
+    assert before.count() == load_table(spark, db, "t").count() == 5
+    # It may read what it replaces, and only the last files stay.
+    save_table(load_table(spark, db, "t").where("id > 1"), db, "t")
+    assert sorted(r[0] for r in load_table(spark, db, "t").collect()) == [2, 3, 4]
+    place = spark.sql(f"DESCRIBE EXTENDED `{db}`.t").where("col_name = 'Location'").first()[1].removeprefix("file:")
+    # Beside it lie the remains of the two jobs that failed.
+    assert [p for p in (tmp_path / "tables").iterdir() if list(p.glob("*.parquet"))] == [Path(place)]
+    spark.sql(f"DROP TABLE `{db}`.t")
+    assert not Path(place).exists()
+    save_table(spark.range(2), db, "t")
+    assert load_table(spark, db, "t").count() == 2
+
+
+def test_files_of_an_external_table_stay(spark, db, tmp_path):
+    spark.range(4).write.parquet(str(tmp_path / "own"))
+    spark.sql(f"CREATE DATABASE `{db}`")
+    spark.sql(f"CREATE TABLE `{db}`.t (id BIGINT) USING parquet LOCATION '{tmp_path}/own'")
+    save_table(spark.range(1), db, "t")
+    assert load_table(spark, db, "t").count() == 1
+    assert spark.read.parquet(str(tmp_path / "own")).count() == 4
+
+
+def result_set(spark, n):
+    return {name: spark.range(n).withColumn("name", F.lit(name)) for name in ("a", "b", "c")}
+
+
+def test_reports_are_published_together(spark, tmp_path):
+    out = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        current_reports(spark, out)
+    publish_reports(spark, out, result_set(spark, 2), {"a": [F.desc("id")]})
+    first = current_reports(spark, out)
+    assert {name: [tuple(r) for r in first.read(spark, name).collect()] for name in first.reports} == {
+        "a": [(1, "a"), (0, "a")], "b": [(0, "b"), (1, "b")], "c": [(0, "c"), (1, "c")]}
+    for n in (3, 4):
+        publish_reports(spark, out, result_set(spark, n))
+    assert current_reports(spark, out).number == 3
+    assert current_reports(spark, out).read(spark, "b").count() == 4
+    assert len(list((tmp_path / "out" / "manifests").glob("*.json"))) == 2
+
+
+@pytest.mark.parametrize("after", [0, 1, 2, 3])
+def test_a_run_that_dies_between_reports_leaves_the_set_before(spark, tmp_path, monkeypatch, after):
+    out = str(tmp_path / "out")
+    publish_reports(spark, out, result_set(spark, 2))
+    real, done = reports.write_report, []
+
+    def dying(df, path, order_by=()):
+        if len(done) == after:
+            raise KeyboardInterrupt
+        done.append(path)
+        real(df, path, order_by)
+
+    monkeypatch.setattr(reports, "write_report", dying)
+    if after == 3:
+        monkeypatch.setattr(reports, "_numbers", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+    with pytest.raises(KeyboardInterrupt):
+        publish_reports(spark, out, result_set(spark, 5))
+    monkeypatch.undo()
+    found = current_reports(spark, out)
+    assert [found.read(spark, name).count() for name in found.reports] == [2, 2, 2]
+    # What the dead run left goes when two later sets are there.
+    for _ in range(2):
+        publish_reports(spark, out, result_set(spark, 1))
+    assert len(list((tmp_path / "out" / "runs").iterdir())) == 2
+
+
+def test_an_earlier_report_comes_back(spark, tmp_path):
+    path = str(tmp_path / "report")
+    write_report(spark.range(3), path)
+    with pytest.raises(Exception):
+        reports._replace(spark, str(tmp_path / "missing"), path)
+    assert spark.read.csv(path, header=True).count() == 3
+
+
 def test_report_is_one_file_in_order(spark, tmp_path):
     path = str(tmp_path / "report")
     counts = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count().orderBy("k")
