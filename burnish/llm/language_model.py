@@ -24,7 +24,7 @@ U = np.uint64
 START, END = U(1), U(2)  # words are known by 64 bits of a hash
 TASK_TOKENS = 1_500_000  # tokens that a counting task sums up before it sends
 BUCKET_BYTES = 8 << 20  # text for each bucket of pairs
-ORDER = 3  # words of the longest n-gram
+ORDER = 2  # words of the longest n-gram unless asked otherwise; triples take several times the disk
 MANY = 255  # counts from here on are kept apart
 SPREAD = 16  # buckets over which the pairs of one first word are dealt out
 

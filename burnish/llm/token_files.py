@@ -23,7 +23,7 @@ from burnish.llm.common import held, saved, shared_dir, slices
 
 MAGIC = b"TOKSVB01"
 FILE_TOKENS = 4 << 20  # a file closes after the document that reaches this
-KNOWN_BYTES = 64 << 20  # words and ids that a worker keeps for its tasks; then it starts over
+KNOWN_BYTES = 96 << 20  # words and ids that a worker keeps for its tasks; then it starts over
 
 # For each control byte: the lengths of its four ids, and their sum.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -96,8 +96,12 @@ class KnownWords:
     parts, so that the same word with and without marks is encoded once.
     """
 
-    def __init__(self, tokenizer, plain: Callable[[str], str | None], empty: Sequence[int] = ()):
-        """`plain` gives the form in which the tokenizer's model gets a word that it gets whole, else null."""
+    def __init__(
+        self, tokenizer, plain: Callable[[str], str | None], empty: Sequence[int] = (), lower: bool = False
+    ):
+        """`plain` gives the form in which the tokenizer's model gets a word that it gets whole, else null; with `lower`
+        the tokenizer reads capitals as small letters."""
+        self.lower = lower
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.model, self.plain = tokenizer, tokenizer.model, plain
@@ -146,9 +150,12 @@ class KnownWords:
         alone, marked = {}, []
         for w in new:
             core = w.rstrip(MARKS)
-            if core != w and core[-1:].lower().isalpha():
-                marked.append((w, core, w[len(core) :]))
-                alone[core] = alone[w[len(core) :]] = None
+            tail = w[len(core) :]
+            if self.lower:
+                core = plain_lower(core) or core
+            if (core != w) and core[-1:].lower().isalpha():
+                marked.append((w, core, tail))
+                alone[core] = alone[tail] = None
             else:
                 alone[w] = None
         alone = [w for w in alone if w not in known]
@@ -189,7 +196,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = blanks_part_words(path) if by_word is None else by_word
-        self.known = KnownWords(self.tokenizer, plain_lower)
+        self.known = KnownWords(self.tokenizer, plain_lower, lower=True)
 
     def __call__(self, batch: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each document closed by `end_id`, and the number of ids of each document."""
@@ -221,7 +228,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = 2, by_word: bool | None
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = ("words", path, by_word)
         encoder = held(key, lambda: WordEncoder(path, by_word))
-        for part in slices(batches, limit=8 << 20, model=key):
+        for part in slices(batches, limit=4 << 20, model=key):
             ids, count = encoder(part.column(1), end_id)
             offsets = pa.array(np.append(0, np.cumsum(count)) * np.dtype(kind).itemsize, pa.int32())
             blobs = pa.BinaryArray.from_buffers(
