@@ -25,6 +25,7 @@ from burnish.llm.common import held, map_rows, slices
 
 BLANK = "▁"
 KNOWN_BYTES = 48 << 20  # units and their ids that a task keeps; then it starts over
+DECODED_IDS = 1 << 18  # ids that are decoded at once
 LONG_UNIT = 48  # code points; longer units are relaxed with a heap
 UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]+|\n|{BLANK}+")
 NONE = np.iinfo(np.int32).max
@@ -274,12 +275,23 @@ def decode_pieces(df: DataFrame, path: str, ids: str = "piece_ids", out: str = "
 
     @F.pandas_udf("string")
     def decoded(column: pd.Series) -> pd.Series:
-        encode, known = encoder(path), column.notna()
-        ids = [np.asarray(x, np.int32) for x in column[known]]
-        bounds = np.cumsum([0, *map(len, ids)])
-        out = pd.Series([None] * len(column), index=column.index, dtype=object)
-        out[known] = encode.decode_all(np.concatenate([np.zeros(0, np.int32), *ids]), bounds)
-        return out
+        decode, out, part = encoder(path).decode_all, [], []
+
+        def close():
+            bounds = np.cumsum([0, *map(len, part)])
+            out.extend(decode(np.concatenate([np.zeros(0, np.int32), *part]), bounds))
+            part.clear()
+
+        # Batches have a number of rows, not of ids; arrays are made for some ids at a time.
+        held = 0
+        for x in column:
+            part.append(np.asarray([] if x is None else x, np.int32))
+            held += len(part[-1])
+            if held >= DECODED_IDS:
+                close()
+                held = 0
+        close()
+        return pd.Series(out, index=column.index, dtype=object).where(column.notna(), None)
 
     return df.withColumn(out, decoded(F.col(ids)))
 
