@@ -406,7 +406,7 @@ def profile_values(spark, sf_dir):
     day = F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderdate").cast("date"))
     columns = {
         "instant": instant,
-        "price": F.col("o_totalprice").cast("decimal(12,2)"),
+        "price": F.round(F.col("o_totalprice") * 100).cast("decimal(12,0)") / F.lit(100).cast("decimal(3,0)"),
         "bytes": F.unhex(F.lpad(F.hex(F.col("o_custkey") % 300), 8, "F")),
         "day": day,
     }
