@@ -407,7 +407,7 @@ def profile_values(spark, sf_dir):
     columns = {
         "instant": instant,
         "price": F.round(F.col("o_totalprice") * 100).cast("decimal(12,0)") / F.lit(100).cast("decimal(3,0)"),
-        "bytes": F.unhex(F.lpad(F.hex(F.col("o_custkey") % 300), 8, "F")),
+        "bytes": F.unhex(F.concat(F.lit("FE"), F.lpad(F.hex(F.col("o_custkey") % 300), 6, "0"))),
         "day": day,
     }
     values = table(spark, sf_dir, "orders").select(*(c.alias(name) for name, c in columns.items()))
