@@ -73,14 +73,20 @@ def held(key: Any, build: Callable[[], Any]) -> Any:
 
 
 def release(but: Any = None) -> None:
-    """Drop the model of an earlier task, and give its memory back to the system where that can be asked for."""
+    """Drop the model of an earlier task."""
     others = [k for k in _HELD if k != but]
+    for k in others:
+        del _HELD[k]
     if others:
-        for k in others:
-            del _HELD[k]
-        gc.collect()
-        with suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give memory that is free again back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def remainder(column: str, divisor: int) -> Column:
@@ -105,6 +111,8 @@ def slices(
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+    # Workers stay; what the task needed on the way needn't.
+    trim()
 
 
 def map_rows(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from burnish.llm.common import held, map_rows, slices
 
 BLANK = "▁"
-KNOWN_BYTES = 48 << 20  # units and their ids that a task keeps; then it starts over
+KNOWN_BYTES = 32 << 20  # units and their ids that a worker keeps for its tasks; then it starts over
 DECODED_IDS = 1 << 18  # ids that are decoded at once
 LONG_UNIT = 48  # code points; longer units are relaxed with a heap
 UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]+|\n|{BLANK}+")
@@ -251,13 +251,17 @@ def encoder(path: str) -> UnitEncoder:
     return held(("pieces", path), lambda: UnitEncoder(path))
 
 
-def encode_pieces(docs: DataFrame, path: str, text: str = "text", out: str = "piece_ids") -> DataFrame:
-    """`docs` with the ids of `text` in a new column `out` (array<int>), which takes the place of one of that name.
+def encode_pieces(
+    docs: DataFrame, path: str, text: str = "text", out: str = "piece_ids", decoded: str | None = None
+) -> DataFrame:
+    """`docs` with the ids of `text` in a new column `out` (array<int>), which takes the place of one of that name; with
+    `decoded`, the text of these ids in a column of that name, by the same task.
 
     A null or empty text has no ids. All rows and other columns stay as they are, repeated and equal ones included; an
     empty table stays empty.
     """
-    columns = [c for c in docs.columns if c != out]
+    added = [out, *([decoded] if decoded else [])]
+    columns = [c for c in docs.columns if c not in added]
     at = columns.index(text)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +269,11 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text", out: str = "pi
         for part in slices(batches, f"c{at}", model=("pieces", path)):
             ids, bounds = encode([x or "" for x in part.column(at).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
-            yield pa.record_batch([*part.columns, lists], [*part.schema.names, "ids"])
+            back = [pa.array(encode.decode_all(ids, bounds), pa.string())] if decoded else []
+            yield pa.record_batch([*part.columns, lists, *back], [*part.schema.names, "ids", "back"][: len(columns) + len(added)])
 
-    return map_rows(docs, columns, encoded, "ids array<int>").toDF(*columns, out)
+    kinds = "ids array<int>, back string" if decoded else "ids array<int>"
+    return map_rows(docs, columns, encoded, kinds).toDF(*columns, *added)
 
 
 def decode_pieces(df: DataFrame, path: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
