@@ -14,7 +14,7 @@ from burnish.llm.decontaminate import decontaminated
 from burnish.llm.jaccard_join import one_of_each
 from burnish.llm.language_id import UNDECIDED, identify_language, sample_texts
 from burnish.llm.personal_data import redacted
-from burnish.llm.piece_encoding import decode_pieces, encode_pieces
+from burnish.llm.piece_encoding import encode_pieces
 from burnish.llm.queries import tokenizer_file
 
 #: Columns that stages add and drop again.
@@ -48,7 +48,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of `docs` with the piece ids of each text, their number, and whether they decode to the text."""
     path = tokenizer_file("piece_bpe_32k.model")
-    encoded = decode_pieces(encode_pieces(docs, path), path, out=DECODED)
+    encoded = encode_pieces(docs, path, decoded=DECODED)
     return encoded.select(
         *[named(c) for c in encoded.columns if c != DECODED],
         F.size("piece_ids").cast("long").alias("n_pieces"),
