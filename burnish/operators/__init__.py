@@ -1,4 +1,4 @@
-"""Operators: `DataFrame` in, `DataFrame` out, no action run, rules and column names as arguments."""
+"""Operators: `DataFrame` in, `DataFrame` out, rules and column names as arguments. Only `ranked`, and what uses it, runs a job."""
 
 from burnish.operators.amounts import flag_invalid_amount, flag_missing_amount, null_tokens, parse_amount
 from burnish.operators.dates import flag_sentinel, parse_dates
