@@ -20,7 +20,7 @@ from burnish.functions.text import named
 from burnish.sources.scratch import scratch_dir, stored
 
 # Text bytes that a task turns into arrays at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _U = np.uint64
 _BYTE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=_U) | _U(1)
