@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The units of a batch (a word with its blanks) are concatenated once each. Their suffixes, sorted to the length of the
+The units of a batch (a word with its blanks) are concatenated once each, some at a time. Their suffixes, sorted to the length of the
 longest piece, give the places of every piece by binary search. These edges, sorted by position, are relaxed: of the
 edges that join two neighbouring symbols the one with the best score is taken, the leftmost of equals, until none is
 left. That is the order of merges of a BPE model, so the ids are those of the model's own library.
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -24,8 +23,10 @@ from pyspark.sql import functions as F
 from burnish.llm.common import held, map_rows, slices
 
 BLANK = "▁"
-KNOWN_BYTES = 32 << 20  # units and their ids that a worker keeps for its tasks; then it starts over
-DECODED_IDS = 1 << 18  # ids that are decoded at once
+KNOWN_BYTES = 16 << 20  # units and their ids that a worker keeps for its tasks; then it starts over
+SLICE_BYTES = 1 << 18  # text bytes that a task encodes and decodes at once
+LEARNED_UNITS = 1 << 16  # code points of units whose suffixes are sorted at once, or one longer unit
+DECODED_IDS = 1 << 16  # ids that are decoded at once
 LONG_UNIT = 48  # code points; longer units are relaxed with a heap
 UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]+|\n|{BLANK}+")
 NONE = np.iinfo(np.int32).max
@@ -53,13 +54,18 @@ class Pieces:
         order = np.argsort(np.array([self.text[i] for i in ids]))
         self.ids, self.rank = np.array(ids, np.int32)[order], rank.astype(np.int32)[order]
         self.sorted = np.array([self.text[i] for i in self.ids])
-        self.longest = max(map(len, self.sorted))
+        self.length = np.char.str_len(self.sorted).astype(np.int64)
+        self.longest = int(self.length.max())
+        # The end of a piece's range of suffixes is where the piece followed by the last code point would go.
+        self.after = np.char.add(self.sorted, "\U0010ffff")
         # What each id stands for, as bytes of UTF-8 one after the other.
         as_bytes = [b"" if i in self.skipped else x.replace(BLANK, " ").encode("utf-8", "replace") for i, x in enumerate(self.text)]
+        for i, b in self.byte_of.items():
+            as_bytes[i] = bytes([b])
         self.flat = np.frombuffer(b"".join(as_bytes), np.uint8)
         self.first = np.cumsum([0, *map(len, as_bytes)])
-        self.is_byte = np.zeros(len(self.text), dtype=bool)
-        self.is_byte[list(self.byte_of)] = True
+        self.is_skipped = np.zeros(len(self.text), dtype=bool)
+        self.is_skipped[list(self.skipped)] = True
 
 
 def edges(pieces: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,10 +80,9 @@ def edges(pieces: Pieces, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(rows, kind="stable")
     array = rows[order]
     low = np.searchsorted(array, pieces.sorted, "left")
-    # The end of a piece's range is where the piece followed by the last code point would go.
-    high = np.searchsorted(array, np.char.add(pieces.sorted, "\U0010ffff"), "right")
+    high = np.searchsorted(array, pieces.after, "right")
     if len(pieces.sorted[0]) and wide:
-        full = np.char.str_len(pieces.sorted) == wide
+        full = pieces.length == wide
         high[full] = np.searchsorted(array, pieces.sorted[full], "right")
     count = high - low
     stop = np.cumsum(count)
@@ -107,42 +112,48 @@ class UnitEncoder:
         return UNIT.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
     def learn(self, new: list[str]) -> None:
-        """Ids of units that aren't known yet, all from one suffix array."""
+        """Ids of units that aren't known yet, some units at a time, so that memory follows that limit or one unit."""
         if not new:
             return
+        size = np.array([len(x) + 1 for x in new], np.int64)
+        part = (np.cumsum(size) - size) // LEARNED_UNITS
+        bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(new)]
+        for a, b in zip(bounds, bounds[1:]):
+            self._learn(new[a:b])
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of some units, all from one suffix array."""
         p = self.pieces
         joined = "\0".join(new) + "\0" * (p.longest + 1)
         text = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(text) - p.longest
         start, piece = edges(p, text)
-        length = np.char.str_len(p.sorted).astype(np.int64)[piece]
         # For each start and length: the piece that covers it.
         cover = np.full((n, p.longest + 1), -1, np.int32)
-        cover[start, length] = piece
+        cover[start, p.length[piece]] = piece
         cover[text[:n] == 0] = -1
         size = np.array([len(x) for x in new], np.int64)
         first = np.cumsum(size + 1) - size - 1
         follow = np.arange(1, n + 1)  # where the symbol that starts here ends
+        starts = np.ones(n, dtype=bool)  # whether a symbol starts here
+        starts[first + size] = False
         if (size <= LONG_UNIT).any():
-            self._relax(cover, follow, first[size <= LONG_UNIT], size[size <= LONG_UNIT])
+            self._relax(cover, follow, starts, first[size <= LONG_UNIT], size[size <= LONG_UNIT])
         for f, s in zip(first[size > LONG_UNIT].tolist(), size[size > LONG_UNIT].tolist()):
-            self._relax_long(cover, follow, f, s)
-        jump = follow.tolist()
-        out, stop = array("i"), []
-        held = cover[np.arange(n), np.minimum(follow - np.arange(n), p.longest)].tolist()
-        ids = p.ids.tolist()
-        for word, f, s in zip(new, first.tolist(), size.tolist()):
-            at = f
-            while at < f + s:
-                if held[at] >= 0:
-                    out.append(ids[held[at]])
-                else:  # no piece: a single code point, as bytes
-                    out.extend(p.bytes[b] for b in word[at - f].encode("utf-8", "replace"))
-                at = jump[at]
-            stop.append(len(out))
+            self._relax_long(cover, follow, starts, f, s)
+        at = np.flatnonzero(starts)
+        held = cover[at, np.minimum(follow[at] - at, p.longest)]
+        count = np.ones(len(at), np.int64)
+        # No piece: a single code point, as bytes.
+        none = np.flatnonzero(held < 0)
+        spelled = [joined[k].encode("utf-8", "replace") for k in at[none].tolist()]
+        count[none] = [*map(len, spelled)]
+        out = np.repeat(p.ids[held], count)
+        out[np.repeat(held < 0, count)] = [p.bytes[b] for b in b"".join(spelled)]
+        stop = np.append(0, np.cumsum(count))[np.searchsorted(at, first + size)]
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-        self.ids.append(np.array(out, np.int32))
-        self.first.append(self.first[-1][-1] + np.array(stop, np.int64))
+        self.ids.append(out)
+        self.first.append(self.first[-1][-1] + stop)
         self.bytes += 2 * sum(map(len, new)) + 150 * len(new) + 4 * len(out)
 
     def _pair(self, cover, a, c):
@@ -151,7 +162,7 @@ class UnitEncoder:
         piece = cover[a, np.minimum(wide, self.pieces.longest)]
         return np.where((wide <= self.pieces.longest) & (piece >= 0), self.pieces.rank[piece], NONE)
 
-    def _relax(self, cover, follow, first, size) -> None:
+    def _relax(self, cover, follow, starts, first, size) -> None:
         """One join in every unit at a time: the best edge over two symbols, leftmost of equals."""
         unit = np.repeat(np.arange(len(first)), size)
         stop = np.cumsum(size)
@@ -168,12 +179,13 @@ class UnitEncoder:
             is_best = (rank == np.repeat(best, counts)) & (rank < NONE)
             hit = np.flatnonzero(is_best)
             hit = hit[np.unique(unit[hit], return_index=True)[1]]
+            starts[nxt[hit]] = False
             follow[at[hit]] = follow[nxt[hit]]
             keep = np.repeat(best < NONE, counts)
             keep[hit + 1] = False
             at, unit = at[keep], unit[keep]
 
-    def _relax_long(self, cover, follow, first, size) -> None:
+    def _relax_long(self, cover, follow, starts, first, size) -> None:
         """The same for one long unit, with the edges in a heap."""
         end, before = first + size, {}
         for k in range(first + 1, end):
@@ -195,6 +207,7 @@ class UnitEncoder:
             if a in gone or b in gone or follow[a] != b or follow[b] != c:
                 continue
             follow[a] = c
+            starts[b] = False
             gone.add(b)
             before[c] = a
             push(a)
@@ -218,14 +231,18 @@ class UnitEncoder:
         p = self.pieces
         raw = joined_spans(p.flat, p.first, ids).tobytes()
         edge = np.append(0, np.cumsum(p.first[ids + 1] - p.first[ids]))[bounds].tolist()
-        odd = np.add.reduceat(np.append(p.is_byte[ids], False), bounds[:-1]) * (np.diff(bounds) > 0) if len(bounds) > 1 else []
+        odd = np.add.reduceat(np.append(p.is_skipped[ids], False), bounds[:-1]) * (np.diff(bounds) > 0) if len(bounds) > 1 else []
         out = []
         for k, by_hand in enumerate(odd):
-            if by_hand:
+            # Bytes that are no UTF-8, or that a control piece parts, are read run by run.
+            try:
+                text = None if by_hand else raw[edge[k] : edge[k + 1]].decode().replace(BLANK, " ")
+            except UnicodeDecodeError:
+                text = None
+            if text is None:
                 out.append(self.decode(ids[bounds[k] : bounds[k + 1]].tolist()))
             else:
-                text = raw[edge[k] : edge[k + 1]]
-                out.append((text[1:] if text.startswith(b" ") else text).decode("utf-8", "replace"))
+                out.append(text[1:] if text.startswith(" ") else text)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -266,7 +283,7 @@ def encode_pieces(
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for part in slices(batches, f"c{at}", model=("pieces", path)):
+        for part in slices(batches, f"c{at}", SLICE_BYTES, ("pieces", path)):
             ids, bounds = encode([x or "" for x in part.column(at).to_pylist()])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
             back = [pa.array(encode.decode_all(ids, bounds), pa.string())] if decoded else []
@@ -311,7 +328,7 @@ def piece_table(docs: DataFrame, path: str) -> DataFrame:
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for part in slices(batches, model=("pieces", path)):
+        for part in slices(batches, limit=SLICE_BYTES, model=("pieces", path)):
             text = [x or "" for x in part.column(1).to_pylist()]
             ids, bounds = encode(text)
             back = encode.decode_all(ids, bounds)

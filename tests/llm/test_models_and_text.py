@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -132,6 +133,31 @@ def test_known_units_are_bounded(monkeypatch):
     assert own(["one two three"])[0].tolist() == before[0]
 
 
+def test_memory_of_very_many_new_units():
+    """A megabyte of different words at once, as arrays in parts; the bound leaves room for the words themselves."""
+    from sentencepiece import SentencePieceProcessor
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    own, pick = UnitEncoder(path), random.Random(3)
+    text = " ".join("".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(100_000))
+    tracemalloc.start()
+    ids, bounds = own([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert ids.tolist() == SentencePieceProcessor(model_file=path).encode(text) and own.decode_all(ids, bounds) == [text]
+
+
+def test_ids_of_any_kind_decode_alike():
+    own, pick = UnitEncoder(tokenizer_file("piece_bpe_32k.model")), np.random.default_rng(5)
+    blank = [own.pieces.bytes[b] for b in "\u2581".encode()]
+    control = min(own.pieces.skipped)
+    each = [blank, [*blank[:1], control, *blank[1:]], [*blank[:2], 500], [control], []]
+    each += [pick.integers(0, 300 if k % 2 else len(own.pieces.text), k % 9).tolist() for k in range(2000)]
+    bounds = np.cumsum([0, *map(len, each)])
+    assert own.decode_all(np.array([i for x in each for i in x], np.int32), bounds) == [own.decode(x) for x in each]
+
+
 def test_a_worker_holds_one_model():
     built = []
     for key in ("a", "a", "b", "a"):
