@@ -82,11 +82,18 @@ def blanks_part_words(path: str) -> bool:
 
 MARKS = ".,;:!?"
 # Letters that have one lower-case form and no combining marks.
-LETTERS = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u024F]+")
+LETTERS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u024F"
+# Such letters, and marks behind them or none.
+PLAIN = f"^(?P<letters>[{LETTERS}]+)(?P<marks>[{MARKS}]*)$"
 
 
 def plain_lower(word: str) -> str | None:
-    return word.lower() if LETTERS.fullmatch(word) else None
+    return word.lower() if re.fullmatch(f"[{LETTERS}]+", word) else None
+
+
+def as_list(column: pa.Array) -> list[str]:
+    """The texts of a column without nulls; `to_pylist` makes a scalar of each."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class KnownWords:
@@ -96,12 +103,8 @@ class KnownWords:
     parts, so that the same word with and without marks is encoded once.
     """
 
-    def __init__(
-        self, tokenizer, plain: Callable[[str], str | None], empty: Sequence[int] = (), lower: bool = False
-    ):
-        """`plain` gives the form in which the tokenizer's model gets a word that it gets whole, else null; with `lower`
-        the tokenizer reads capitals as small letters."""
-        self.lower = lower
+    def __init__(self, tokenizer, plain: Callable[[str], str | None], empty: Sequence[int] = ()):
+        """`plain` gives the form in which the tokenizer's model gets a word that it gets whole, else null."""
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.model, self.plain = tokenizer, tokenizer.model, plain
@@ -136,23 +139,34 @@ class KnownWords:
             end.append(len(out))
         return np.array(out, np.uint32), np.array(end, np.int64)
 
+    def _spelled(self, forms: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone, as the model gets them. It has ASCII letters as they are."""
+        out, end, tokenize, stands = array("I"), [], self.model.tokenize, self.stands
+        for form in forms:
+            spelled = form if form.isascii() else form.encode().decode("latin-1").translate(stands)
+            out.extend([t.id for t in tokenize(spelled)])
+            end.append(len(out))
+        return np.array(out, np.uint32), np.array(end, np.int64)
+
     def _add(self, words: list[str], ids: np.ndarray, end: np.ndarray) -> None:
         self.ids.append(ids)
         self.first.append(self.first[-1][-1] + end)
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
         self.bytes += 2 * sum(map(len, words)) + 100 * len(words) + 4 * len(ids)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str], forms: Sequence[str] = ()) -> None:
+        """`forms` are distinct words of letters alone, in the form in which the model gets them."""
         if self.bytes > KNOWN_BYTES:
             self.forget()
         known = self.place
+        spelled = [w for w in forms if w not in known]
+        if spelled:
+            self._add(spelled, *self._spelled(spelled))
         new = [w for w in words if w not in known]
         alone, marked = {}, []
         for w in new:
             core = w.rstrip(MARKS)
             tail = w[len(core) :]
-            if self.lower:
-                core = plain_lower(core) or core
             if (core != w) and core[-1:].lower().isalpha():
                 marked.append((w, core, tail))
                 alone[core] = alone[tail] = None
@@ -164,22 +178,24 @@ class KnownWords:
         if marked:
             flat, first = self.arrays()
             parts = np.array([known[x] for _, *pair in marked for x in pair], np.int64)
-            count = first[parts + 1] - first[parts]
-            end = np.cumsum(count)
-            ids = flat[np.repeat(first[parts] - (end - count), count) + np.arange(end[-1])]
+            ids, end = joined_spans(flat, first, parts)
             self._add([w for w, *_ in marked], ids, end[1::2])
 
     def places(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
 
+def joined_spans(flat: np.ndarray, first: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans flat[first[k]:first[k + 1]] for all k in `place`, one after the other, and where each ends."""
+    count = first[place + 1] - first[place]
+    stop = np.cumsum(count)
+    return flat[np.repeat(first[place] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+
 def closed_texts(flat: np.ndarray, first: np.ndarray, place: np.ndarray, sizes: np.ndarray, end_id: int):
     """The ids of the words at `place`, `sizes` words a text, each text closed by `end_id`, and the ids of each text."""
     place = np.insert(place, np.cumsum(sizes), len(first) - 1)
-    flat, first = np.append(flat, np.uint32(end_id)), np.append(first, first[-1] + 1)
-    count = first[place + 1] - first[place]
-    stop = np.cumsum(count)
-    ids = flat[np.repeat(first[place] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+    ids, stop = joined_spans(np.append(flat, np.uint32(end_id)), np.append(first, first[-1] + 1), place)
     return ids, np.diff(np.append(0, stop)[np.cumsum(sizes + 1)], prepend=0)
 
 
@@ -196,7 +212,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = blanks_part_words(path) if by_word is None else by_word
-        self.known = KnownWords(self.tokenizer, plain_lower, lower=True)
+        self.known = KnownWords(self.tokenizer, plain_lower)
 
     def __call__(self, batch: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each document closed by `end_id`, and the number of ids of each document."""
@@ -208,10 +224,22 @@ class WordEncoder:
         split = pc.split_pattern(pc.replace_substring(batch, "\n", " "), " ")
         sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.known.learn(words)
-        place = self.known.places(words)[coded.indices.to_numpy()]
-        return closed_texts(*self.known.arrays(), place, sizes, end_id)
+        # The tokenizer reads capitals as small letters and parts letters from the marks behind them.
+        parts = pc.extract_regex(coded.dictionary, PLAIN)
+        plain = parts.is_valid()
+        letters = pc.utf8_lower(pc.struct_field(parts, "letters").filter(plain)).dictionary_encode()
+        marks = pc.struct_field(parts, "marks").filter(plain).dictionary_encode()
+        forms, tails, others = map(as_list, (letters.dictionary, marks.dictionary, coded.dictionary.filter(pc.invert(plain))))
+        known = self.known
+        known.learn(others + tails, forms)
+        # The places of each word's two parts; the empty word, at place 0, has no ids.
+        plain = plain.to_numpy(zero_copy_only=False)
+        place = np.zeros((len(plain), 2), np.int64)
+        place[plain, 0] = known.places(forms)[letters.indices.to_numpy()]
+        place[plain, 1] = known.places(tails)[marks.indices.to_numpy()]
+        place[~plain, 0] = known.places(others)
+        ids, stop = joined_spans(*known.arrays(), place.ravel())
+        return closed_texts(ids, np.append(0, stop[1::2]), coded.indices.to_numpy(), sizes, end_id)
 
 
 def id_type(path: str) -> str:

@@ -75,6 +75,17 @@ def test_words_encode_as_whole_texts():
         assert ids[stop - n : stop].tolist() == whole.encode(text, add_special_tokens=False).ids + [2]
 
 
+def test_words_are_known_by_their_letters():
+    """Capitals and marks behind a word add nothing to what a worker encodes and keeps."""
+    own = WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    ids, count = own(pa.array(["Word word. WORD! \u00c9t\u00e9,\n\u00e9T\u00c9 can't", None, "word.?"]), 2)
+    assert own.known.place.keys() == {"", "word", "\u00e9t\u00e9", "can't", ".", "!", ",", ".?"}
+    texts = [f"{chr(c)}{x}a{chr(c)}.?! {x}{chr(c)}" for c in range(0x250) for x in "b\u00c9"]
+    whole = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")).encode_batch(texts, add_special_tokens=False)
+    ids, count = own(pa.array(texts), 2)
+    assert ids.tolist() == [i for x in whole for i in [*x.ids, 2]] and count.tolist() == [len(x.ids) + 1 for x in whole]
+
+
 def plain_tokens(rows):
     from tokenizers import Tokenizer
 
