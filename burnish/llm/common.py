@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import time
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 from pathlib import Path
@@ -42,6 +43,16 @@ def saved(df: DataFrame) -> DataFrame:
     return stored(df)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the shuffle files of finished jobs removed now. Spark does so once the driver's garbage is collected, which
+    may be never in a run of few and large jobs."""
+    system = spark.sparkContext._jvm.System
+    gc.collect()
+    system.gc()
+    time.sleep(1.2)  # a thread of py4j, which looks once a second, tells the JVM what Python has dropped
+    system.gc()
+
+
 def local_path(uri: str) -> str:
     """The path under which tasks see a folder of a shared file system; other stores can't be memory-mapped."""
     if uri.startswith("file:"):

@@ -4,6 +4,8 @@ Shingles have one global order, that of their hashes. Cut into `k` ranges, every
 Two sets whose symmetric difference is at most `d` agree in at least `k - d` fragments, so documents meet only where a
 whole fragment is equal, and a document of which too few fragments occur elsewhere is done. The pairs that remain are
 decided exactly: partial overlaps are counted fragment by fragment and added up per pair.
+
+Shuffle files go after each large step, so the disk holds the tables and the files of one step.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from burnish.operators.dedup import dedup_keep_first
-from burnish.llm.common import components, mix, saved, shingles, slices, texts
+from burnish.llm.common import components, let_go, mix, saved, shingles, slices, texts
 
 U = np.uint64
 BUCKET_ROWS = 2_000_000  # fragments that one task brings together
 BROADCAST_ROWS = 1_000_000  # document ids (16 MB) that a task may hold whole; more are joined by a shuffle
 PARTS = 8  # ranges of the order in which overlaps are counted
+PAIRED = 64  # sets of one signature that are paired one by one; more are compared as a group
 
 
 class Fragments:
@@ -264,10 +267,44 @@ def best_centres(groups: DataFrame) -> DataFrame:
     return best.select(F.col("fp").alias("a"), "b")
 
 
+def undecided(groups: DataFrame, label: DataFrame, alive: DataFrame, num: int, den: int) -> DataFrame:
+    """`fp`, `low`: edges between sets. Linked sets of different labels are in one component of them.
+
+    Such sets share at least as many signatures as each needs, all of them mixed ones: of several labels. In an order of
+    the signatures, rare ones first, they still share one if each set leaves out its last ones, one fewer than it needs.
+    Where up to `PAIRED` sets meet, each pair gets an edge if it shares enough signatures in all. Sets that meet by
+    chance, ever more of them in more rows, end here. Where more sets meet, all have an edge to the lowest one.
+    """
+    placed = groups.join(label, "fp", "left").select("g", "fp", F.coalesce("component", "fp").alias("label"))
+    mixed = placed.groupBy("g").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"))
+    mixed = placed.join(mixed.where("least < most").select("g", "size"), "g")
+    lists = mixed.groupBy("fp", "label").agg(F.sort_array(F.collect_list(F.struct("size", "g"))).alias("held"))
+    lists = lists.join(alive.select("fp", "n_shingles", "needed"), "fp").where(F.size("held") >= F.col("needed"))
+    lists = saved(lists.select("fp", "label", "n_shingles", "needed", F.col("held.g").alias("held")))
+    let_go(groups.sparkSession)
+    kept = F.slice("held", F.lit(1), (F.size("held") - F.greatest("needed", F.lit(1)) + 1).cast("int"))
+    meets = lists.select("fp", "label", F.explode(kept).alias("g"))
+    met = meets.groupBy("g").agg(
+        F.count("*").alias("size"), F.min("fp").alias("low"), F.min("label").alias("least"), F.max("label").alias("most")
+    )
+    meets = meets.join(met.where("least < most").select("g", "size", "low"), "g")
+    few = meets.where(F.col("size") <= PAIRED).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("fp", "label"))).alias("sets"))
+    others = F.filter("sets", lambda other: (other["fp"] > F.col("one.fp")) & (other["label"] != F.col("one.label")))
+    pairs = few.select("sets", F.explode("sets").alias("one")).select(F.col("one.fp").alias("a"), F.explode(others["fp"]).alias("b"))
+    side = lambda end: lists.select(
+        F.col("fp").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n_shingles", "needed", "held"))
+    )
+    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+    both = both.where(den * F.least("n_shingles_a", "n_shingles_b") >= num * F.greatest("n_shingles_a", "n_shingles_b"))
+    enough = F.size(F.array_intersect("held_a", "held_b")) >= F.greatest("needed_a", "needed_b")
+    many = meets.where(F.col("size") > PAIRED).select("fp", "low")
+    return both.where(enough).select(F.col("b").alias("fp"), F.col("a").alias("low")).unionByName(many).distinct()
+
+
 def links_in_blocks(apart: DataFrame, sets: DataFrame, plan: Fragments) -> DataFrame:
-    """Links (`a`, `b`) that join the sets of `apart` (`fp`, and `low`, a set that it meets) to the components that all their links make.
+    """Links (`a`, `b`) that join the sets of `apart` (edges `fp`, `low`) to the components that all their links make.
 
-    Sets that meet, directly or by way of others, are dealt out into blocks of one level of size. Each two blocks of the
+    Sets that these edges bring together, directly or by way of others, are dealt out into blocks of one level of size. Each two blocks of the
     same or neighbouring levels come together in one task, which adds up the partial overlaps of all pairs and hands on
     a spanning forest of the links: no more rows than sets.
     """
@@ -342,19 +379,23 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     doc_id keep a null component. Repeated ids are rows of their own. Other columns are left aside. No row gives none.
 
     Equal sets are one node, so copies are never paired. Documents of one near-copy group are first compared with a
-    centre; only groups that this leaves in parts are compared each with each, block by block.
+    centre; where this leaves sets apart that share enough signatures, their groups are compared each with each, block
+    by block.
     """
     plan = Fragments(num, den)
     rows = saved(shingle_sets(docs, size, plan))
     filled = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("needed").alias("needed"))
+    classes = filled.groupBy("fp").agg(
+        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("needed").alias("needed")
+    )
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(8, int(total * 0.45) // BUCKET_ROWS)
     members = saved(equal_fragments(docs.where("doc_id is not null"), size, plan, buckets))
+    let_go(docs.sparkSession)
     ends = members.select("g", "fp").unionByName(members.select("g", F.col("centre").alias("fp")))
     groups = saved(ends.distinct())
     shared = groups.groupBy("fp").agg(F.count("*").alias("shared"))
-    alive = saved(shared.join(classes, "fp").where("shared >= needed").select("fp", "first_id"))
+    alive = saved(shared.join(classes, "fp").where("shared >= needed").drop("shared"))
 
     ids = alive.select(F.col("first_id").alias("doc_id"))
     if alive.count() <= BROADCAST_ROWS:
@@ -362,12 +403,15 @@ def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     sets = saved(set_parts(docs.join(ids, "doc_id", "left_semi"), size))
 
     groups = saved(groups.join(alive.select("fp"), "fp", "left_semi"))
-    links = saved(linked(best_centres(groups), sets, num, den))
+    best = saved(best_centres(groups))
+    let_go(docs.sparkSession)
+    links = saved(linked(best, sets, num, den))
+    let_go(docs.sparkSession)
     label = components(links).select(F.col("node").alias("fp"), "component")
-    placed = groups.join(label, "fp", "left").select("g", "fp", F.coalesce("component", "fp").alias("label"))
-    mixed = placed.groupBy("g").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("fp").alias("low"))
-    apart = saved(placed.join(mixed.where("least < most").select("g", "low"), "g").select("fp", "low").distinct())
-    links = links.unionByName(links_in_blocks(apart, sets, plan))
+    apart = saved(undecided(groups, label, alive, num, den))
+    let_go(docs.sparkSession)
+    links = saved(links.unionByName(links_in_blocks(apart, sets, plan)))
+    let_go(docs.sparkSession)
 
     node = components(links).select(F.col("node").alias("fp"), "component")
     joined = classes.join(node, "fp", "left")

@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from burnish.llm import queries, repeats
+from burnish.llm import jaccard_join, queries, repeats
 from burnish.llm.common import components
 from burnish.llm.decontaminate import contaminated, contamination_table, decontaminated
 from burnish.llm.jaccard_join import jaccard_components, one_of_each
@@ -80,6 +82,58 @@ def test_jaccard_query(spark):
     assert sorted_rows(found) == plain_components(documents("sf0.001"), 4, 85, 100)
 
 
+@pytest.mark.parametrize("paired", [1, 3])
+def test_sets_that_meet_in_number(spark, monkeypatch, paired):
+    monkeypatch.setattr(jaccard_join, "PAIRED", paired)
+    rows = near_copies(5)
+    found = jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 85, 100)
+    assert sorted_rows(found.select("doc_id", "n_shingles", "component_id")) == plain_components(rows, 4, 85, 100)
+
+
+def chain_of_passages():
+    """Pairs of like documents, too far apart for a link; a fourth of each is in the documents of the next pair, too."""
+    rng, rows = random.Random(8), []
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [words(75) for _ in range(41)]
+    for k in range(40):
+        own = words(150)
+        other = [rng.choice("xyz") if j % 14 == 7 else w for j, w in enumerate(own)]
+        rows += [(2 * k + j, " ".join(x + passages[k] + passages[k + 1])) for j, x in enumerate((own, other))]
+    return rows
+
+
+def test_chance_companies_make_no_groups(spark, monkeypatch):
+    groups, blocks = [], jaccard_join.links_in_blocks
+
+    def watched(apart, sets, plan):
+        edges = apart.select(F.col("fp").alias("a"), F.col("low").alias("b"))
+        groups.extend(r["count"] for r in components(edges).groupBy("component").count().collect())
+        return blocks(apart, sets, plan)
+
+    monkeypatch.setattr(jaccard_join, "links_in_blocks", watched)
+    rows = chain_of_passages()
+    found = jaccard_components(spark.createDataFrame(rows, SCHEMA), 4, 85, 100)
+    assert sorted_rows(found.select("doc_id", "n_shingles", "component_id")) == plain_components(rows, 4, 85, 100)
+    assert len(groups) > 30 and max(groups) == 2
+
+
+def test_shuffles_of_finished_steps_go(spark, monkeypatch):
+    known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    shuffles = lambda: set(known.keySet().mkString(",").split(",")) - {""}
+    before, left, blocks = shuffles(), [], jaccard_join.links_in_blocks
+
+    def watched(*args):
+        end = time.time() + 20
+        while shuffles() - before and time.time() < end:
+            time.sleep(0.2)
+        left.append(shuffles() - before)
+        return blocks(*args)
+
+    monkeypatch.setattr(jaccard_join, "links_in_blocks", watched)
+    jaccard_components(spark.createDataFrame(near_copies(), SCHEMA))
+    assert left == [set()]
+
+
 def test_one_of_each_keeps_rows_apart(spark):
     same = "a b c d e f"
     rows = [(1, same), (1, same), (1, "x y z one two"), (2, None), (2, None), (None, same), (3, same)]
