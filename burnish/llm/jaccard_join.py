@@ -151,8 +151,8 @@ def equal_fragments(docs: DataFrame, size: int, plan: Fragments, buckets: int) -
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, limit=8 << 20):
-            token, doc = shingles(texts(part), size)
+        for part in slices(batches, limit=4 << 20):
+            token, doc = _shingles_in_steps(part, size)
             n = np.bincount(doc, minlength=part.num_rows)
             fp = fingerprints(token, doc, n)
             _, one = np.unique(fp, return_index=True)
@@ -203,6 +203,17 @@ def equal_fragments(docs: DataFrame, size: int, plan: Fragments, buckets: int) -
     return blobs.groupBy("bucket").applyInPandas(met, "g long, fp long, centre long")
 
 
+def _shingles_in_steps(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """`shingles` of a large batch: words take some thirty times the text's bytes, so less is worked on at a time."""
+    tokens, docs, row = [], [], 0
+    for step in slices(iter([part])):
+        token, doc = shingles(texts(step), size)
+        tokens.append(token)
+        docs.append(doc + row)
+        row += step.num_rows
+    return np.concatenate(tokens), np.concatenate(docs)
+
+
 def _dense(doc: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return (np.cumsum(chosen) - 1)[doc]
 
@@ -428,6 +439,7 @@ def one_of_each(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -
     """The rows of `docs`, all columns, that stand for their component: that of the smallest doc_id, and of its rows, if
     the id is repeated, one. Rows that link with nothing stay, also those without text or id."""
     rows = saved(jaccard_components(docs, size, num, den).where("doc_id is not null and n_shingles > 0"))
+    let_go(docs.sparkSession)
     first = rows.where("doc_id = component_id").groupBy("component").agg(F.min("row_hash").alias("first_hash"))
     stays = (F.col("doc_id") == F.col("component_id")) & (F.col("row_hash") == F.col("first_hash"))
     gone = rows.join(first, "component").where(~stays).select("doc_id", "row_hash").distinct()

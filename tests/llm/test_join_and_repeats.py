@@ -3,15 +3,17 @@
 import hashlib
 import random
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from burnish.llm import jaccard_join, queries, repeats
-from burnish.llm.common import components
+from burnish.llm.common import components, shingles, texts
 from burnish.llm.decontaminate import contaminated, contamination_table, decontaminated
 from burnish.llm.jaccard_join import jaccard_components, one_of_each
 from tests.conftest import TESTDATA
@@ -117,6 +119,20 @@ def test_chance_companies_make_no_groups(spark, monkeypatch):
     assert len(groups) > 30 and max(groups) == 2
 
 
+def test_large_batches_take_little_memory():
+    rng = random.Random(4)
+    rows = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(50_000)) if k % 2 else f"a b c d e {k}" for k in range(12)]
+    part = pa.record_batch([pa.array(range(12), pa.int64()), pa.array(rows)], ["doc_id", "text"])
+    most, found = [], []
+    for shingled in (lambda: jaccard_join._shingles_in_steps(part, 5), lambda: shingles(texts(part), 5)):
+        tracemalloc.start()
+        found.append(shingled())
+        most.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert all((a == b).all() for a, b in zip(*found))
+    assert most[0] < most[1] / 1.5
+
+
 def test_shuffles_of_finished_steps_go(spark, monkeypatch):
     known = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
     shuffles = lambda: set(known.keySet().mkString(",").split(",")) - {""}
